@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,7 +260,11 @@ def thresholds_approx(spark, folder):
 
 def _stratified(spark, folder, qs=QUANTILES) -> DataFrame:
     measured = materialize(_metrics(spark, folder))
-    return strata.classify(measured, quantiles.thresholds(measured, qs))
+    return strata.classify(measured, quantiles.threshold_values(quantiles.thresholds(measured, qs)))
+
+
+def _members(spark, folder, qs=QUANTILES) -> DataFrame:
+    return materialize(strata.archetype_members(_stratified(spark, folder, qs)))
 
 
 _CATS = [f"{m}_cat" for m in V.METRICS]
@@ -267,7 +272,9 @@ _CATS = [f"{m}_cat" for m in V.METRICS]
 
 @register("repo_categories", sql.query(f"SELECT repo_id, {', '.join(_CATS)} FROM strata"))
 def repo_categories(spark, folder):
-    return _stratified(spark, folder).select("repo_id", *_CATS)
+    """Thresholds stay in the plan, as a scalar subquery."""
+    measured = materialize(_metrics(spark, folder))
+    return strata.classify(measured, quantiles.thresholds(measured)).select("repo_id", *_CATS)
 
 
 @register("strata", sql.query("SELECT repo_id, age_in_days, strato_id FROM strata"))
@@ -324,7 +331,7 @@ def _cohort_log(spark, folder) -> DataFrame:
 
 
 def _archetype_log(spark, folder) -> DataFrame:
-    members = strata.archetype_members(_stratified(spark, folder, inputs.QUARTILES))
+    members = _members(spark, folder, inputs.QUARTILES)
     return L.event_log(inputs.events(spark, folder), members)
 
 
@@ -444,12 +451,12 @@ def dependency_measure(spark, folder):
 
 
 def _model(spark, folder, cohort: bool = True, miner: MinerSettings | None = None):
-    """(flow, nodes, edges), the flow computed once."""
+    """(flow, nodes, edges); all of them small, and computed once."""
     log = _cohort_log(spark, folder) if cohort else _archetype_log(spark, folder)
     settings = miner or (RELAXED_MINER if cohort else ARCHETYPE_MINER)
     flow = materialize(_flow(log))
-    edges = mining.discover_net(flow, settings)
-    return flow, mining.model_nodes(flow, edges), edges
+    edges = materialize(mining.discover_net(flow, settings))
+    return flow, materialize(mining.model_nodes(flow, edges)), edges
 
 
 _EDGE_SQL = (
@@ -764,8 +771,8 @@ def frobenius_performance(spark, folder):
     ),
 )
 def delta_matrix(spark, folder):
-    _, _, edges = _model(spark, folder, cohort=False)
-    pairs = K.unordered_pairs(spark)
+    _, nodes, edges = _model(spark, folder, cohort=False)
+    pairs = K.modelled_pairs(K.unordered_pairs(spark), K.models(nodes))
     both = [
         K.delta_matrix(K.cells(edges, metric), pairs, metric).withColumn(
             "metric", F.lit(metric.capitalize())
@@ -807,7 +814,7 @@ def similarity_all(spark, folder):
 @register("similarity_missing_models", sql.query(_SIMILARITY_SQL, miner=_miner(ARCHETYPE_MINER)))
 def similarity_missing_models(spark, folder):
     """Default quantiles: archetypes without repositories still take part."""
-    members = strata.archetype_members(_stratified(spark, folder))
+    members = _members(spark, folder)
     flow = materialize(_flow(L.event_log(inputs.events(spark, folder), members)))
     edges = mining.discover_net(flow, ARCHETYPE_MINER)
     nodes = mining.model_nodes(flow, edges)
@@ -918,17 +925,32 @@ def coverage_span(spark, folder):
 # The raw archive files are derived from the `events` table, in a new folder.
 
 
-def _landed(spark, folder) -> tuple[str, Store]:
-    root = scratch_dir(spark, "archive")
-    landing = f"{root}/landing"
+# Landing is preparation and happens once per session; the store that several
+# queries only read is likewise filled once.
+
+
+@cache
+def _landed(spark: SparkSession, folder: str) -> str:
+    landing = scratch_dir(spark, "landing")
     inputs.land_archive(spark, folder, landing)
-    return landing, Store(f"{root}/store")
+    return landing
+
+
+def _new_store(spark: SparkSession) -> Store:
+    return Store(scratch_dir(spark, "store"))
 
 
-def _all_hours(spark, landing) -> DataFrame:
+def _all_hours(spark: SparkSession, landing: str) -> DataFrame:
     return archive.list_hours(spark, landing).select("hour").distinct()
 
 
+@cache
+def _ingested(spark: SparkSession, folder: str) -> Store:
+    landing, store = _landed(spark, folder), _new_store(spark)
+    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
+    return store
+
+
 _DISTILLED_SQL = sql.query(
     "SELECT event_seq, repo_id, repo_name, actor_id, actor_login, activity, action, "
     "CASE activity WHEN 'IssuesEvent' THEN 'Issue' ELSE replace(activity, 'Event', '') END "
@@ -952,16 +974,13 @@ def _distilled(stored: DataFrame) -> DataFrame:
 
 @register("ingest_distilled", _DISTILLED_SQL)
 def ingest_distilled(spark, folder):
-    landing, store = _landed(spark, folder)
-    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
-    return _distilled(spark.read.parquet(store.hourly))
+    return _distilled(spark.read.parquet(_ingested(spark, folder).hourly))
 
 
 @register("ingest_twice", _DISTILLED_SQL)
 def ingest_twice(spark, folder):
     """Forcing every hour again leaves the same rows."""
-    landing, store = _landed(spark, folder)
-    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
+    landing, store = _landed(spark, folder), _ingested(spark, folder)
     ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing), force=True)
     return _distilled(spark.read.parquet(store.hourly))
 
@@ -969,7 +988,7 @@ def ingest_twice(spark, folder):
 @register("stream_ingest", _DISTILLED_SQL)
 def stream_ingest_query(spark, folder):
     """Incremental ingest gives the rows of the batch job."""
-    landing, store = _landed(spark, folder)
+    landing, store = _landed(spark, folder), _new_store(spark)
     for _ in range(2):
         stream_ingest(spark, landing, store, f"{store.root}/progress").awaitTermination()
     return _distilled(spark.read.parquet(store.hourly))
@@ -985,9 +1004,7 @@ _LEDGER_SQL = sql.query(
 
 @register("ingest_ledger", _LEDGER_SQL)
 def ingest_ledger(spark, folder):
-    landing, store = _landed(spark, folder)
-    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
-    return ledger.read(spark, store).drop("updated_at")
+    return ledger.read(spark, _ingested(spark, folder)).drop("updated_at")
 
 
 @register(
@@ -998,9 +1015,7 @@ def ingest_ledger(spark, folder):
     ),
 )
 def ingest_totals(spark, folder):
-    landing, store = _landed(spark, folder)
-    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
-    return ledger.totals(ledger.read(spark, store))
+    return ledger.totals(ledger.read(spark, _ingested(spark, folder)))
 
 
 @register(
@@ -1068,7 +1083,7 @@ def day_window_scan(spark, folder):
     Hours without an archive file are requested as well, so that days are
     complete and get consolidated.
     """
-    landing, store = _landed(spark, folder)
+    landing, store = _landed(spark, folder), _new_store(spark)
     span = archive.list_hours(spark, landing).select(S.hour_time(F.col("hour")).alias("t"))
     days = span.agg(
         F.date_trunc("day", F.min("t")).alias("lo"), F.date_trunc("day", F.max("t")).alias("hi")
@@ -1087,7 +1102,5 @@ def day_window_scan(spark, folder):
 
 @register("dataset_size")
 def dataset_size(spark, folder):
-    """Path, size and coverage of a freshly ingested store."""
-    landing, store = _landed(spark, folder)
-    ingest.ingest_hours(spark, landing, store, _all_hours(spark, landing))
-    return rounded(ingest.dataset_info(spark, store))
+    """Path, size and coverage of an ingested store."""
+    return rounded(ingest.dataset_info(spark, _ingested(spark, folder)))

@@ -101,9 +101,11 @@ def activity_label(activity: Column, count: Column) -> Column:
 
 
 def edge_label(source: Column, target: Column, seconds: Column) -> Column:
-    return F.concat(
-        source, F.lit("->"), target, F.lit(" ("), hours(seconds).cast("string"), F.lit("h)")
+    """An unknown time, stored as -1 second, reads as negative zero hours."""
+    text = F.when((seconds < 0) & (hours(seconds) == 0), "-0.0").otherwise(
+        hours(seconds).cast("string")
     )
+    return F.concat(source, F.lit("->"), target, F.lit(" ("), text, F.lit("h)"))
 
 
 def hours(seconds: Column) -> Column:

@@ -220,7 +220,8 @@ def unordered_pairs(spark: SparkSession, names: Sequence[str] = V.ARCHETYPE_NAME
     return _named_pairs(spark, names).where("i < j").select("group_a", "group_b")
 
 
-def _both_modelled(pairs: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+def modelled_pairs(pairs: DataFrame, groups: DataFrame, by: str = "archetype") -> DataFrame:
+    """The pairs whose groups both have a model."""
     for side in ("group_a", "group_b"):
         known = groups.select(F.col(by).alias(side))
         pairs = pairs.join(known, side, "left_semi")
@@ -294,7 +295,7 @@ def frobenius(
     differences. For frequencies the stored cells are enough.
     """
     squares = (
-        _differences(matrix, _both_modelled(pairs, groups, by), by, normalise)
+        _differences(matrix, modelled_pairs(pairs, groups, by), by, normalise)
         .groupBy("group_a", "group_b")
         .agg(F.sqrt(F.sum(F.col("delta") * F.col("delta"))).alias("distance"))
     )
@@ -312,7 +313,8 @@ def delta_matrix(
 ) -> DataFrame:
     """Cellwise difference of two models, with absent cells counted as zero.
 
-    Cells that both models lack have no row. Takes dense or stored cells.
+    Cells that both models lack have no row. Takes dense or stored cells, and
+    pairs of groups that have a model.
     """
     _measure(metric)
     present = matrix.where(F.col("value") != ABSENT[metric])
@@ -323,7 +325,7 @@ def manhattan_tvd(
     edges: DataFrame, groups: DataFrame, pairs: DataFrame, by: str = "archetype"
 ) -> DataFrame:
     """Manhattan and total-variation distance of each pair, for both metrics."""
-    known = _both_modelled(pairs, groups, by)
+    known = modelled_pairs(pairs, groups, by)
 
     def of(metric: str) -> DataFrame:
         moved = (

@@ -16,13 +16,16 @@ HOURS_PER_DAY = 24
 
 
 def hours_per_day(hours: DataFrame, hour: str = "hour") -> DataFrame:
-    """(day, hours) for days with at least one processed hour."""
-    moment = S.hour_time(F.col(hour))
+    """(day, hours) for days with at least one processed hour.
+
+    The day is the date part of the stamp, whatever its year.
+    """
+    day = F.try_to_date(F.substring(hour, 1, 10))
     return (
-        hours.select(moment.alias("moment"))
-        .where(F.col("moment").isNotNull())
-        .groupBy(F.to_date("moment").alias("day"))
-        .agg(F.count_distinct("moment").alias("hours"))
+        hours.select(day.alias("day"), F.col(hour).alias("hour"))
+        .where(F.col("day").isNotNull())
+        .groupBy("day")
+        .agg(F.count_distinct("hour").alias("hours"))
     )
 
 

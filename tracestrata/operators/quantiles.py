@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -47,56 +49,45 @@ def thresholds(
     Values are interpolated linearly over the positive values of the metric; a
     metric without any gets 0.0. An empty input gives no rows.
 
-    ``exact`` never gathers a metric's values in one task. Equal values are
-    merged first; a logarithmic histogram, whose size does not depend on the
-    row count, shows which bins hold the wanted ranks; values of all other bins
-    are replaced by one value per bin with its count, which leaves every
-    wanted rank as it was. ``approx`` uses a rank sketch without interpolation.
+    ``exact`` never gathers a metric's values in one task. A logarithmic
+    histogram, whose size does not depend on the row count, shows which bins
+    hold the wanted ranks. All values of the other bins are then replaced by one
+    value inside their bin, which leaves the value at every wanted rank as it
+    was and bounds what the final aggregate has to hold. ``approx`` uses a rank
+    sketch and does not interpolate.
     """
+    long = _long(metrics, names)
+    wanted = F.array(*(F.lit(float(q)) for q in quantiles))
     if method == "approx":
-        wanted = F.array(*(F.lit(float(q)) for q in quantiles))
-        values = (
-            _long(metrics, names)
-            .groupBy("metric")
-            .agg(F.percentile_approx("value", wanted, 10_000).alias("values"))
-        )
-        return _labelled(values, quantiles)
+        summary = F.percentile_approx("value", wanted, 10_000)
+        return _labelled(long.groupBy("metric").agg(summary.alias("values")), quantiles)
     if method != "exact":
         raise ContractError(f"unknown quantile method {method!r}")
 
-    merged = (
-        _long(metrics, names)
-        .groupBy("metric", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin", F.floor(F.log("value") * _BINS_PER_E))
+    binned = long.withColumn("bin", F.floor(F.log("value") * _BINS_PER_E))
+    # At most two bins per metric and quantile are needed: broadcast is bounded.
+    needed = _bins_holding(binned, quantiles).withColumn("needed", F.lit(True))
+    middle = F.exp((F.col("bin") + 0.5) / _BINS_PER_E)
+    compact = binned.join(F.broadcast(needed), ["metric", "bin"], "left").select(
+        "metric", F.when(F.col("needed"), F.col("value")).otherwise(middle).alias("value")
     )
-    bins = merged.groupBy("metric", "bin").agg(
-        F.sum("n").alias("n"), F.min("value").alias("value")
+    summary = F.percentile("value", wanted)
+    return _labelled(compact.groupBy("metric").agg(summary.alias("values")), quantiles)
+
+
+def _bins_holding(binned: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(metric, bin) of the bins that contain a rank next to a wanted quantile."""
+    bins = binned.where(F.col("bin").isNotNull()).groupBy("metric", "bin").agg(
+        F.count("*").alias("n")
+    )
+    upto = F.sum("n").over(W.partitionBy("metric").orderBy("bin"))
+    total = F.sum("n").over(W.partitionBy("metric"))
+    first, last, end = F.col("upto") - F.col("n"), F.col("upto") - 1, F.col("total") - 1
+    holds = reduce(
+        or_, ((first <= F.ceil(end * q)) & (last >= F.floor(end * q)) for q in quantiles)
     )
-    upto = W.partitionBy("metric").orderBy("bin")
-    valued = F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)
-    ranked = bins.withColumns(
-        {
-            "last": F.sum(valued).over(upto) - 1,
-            "total": F.sum(valued).over(W.partitionBy("metric")),
-        }
-    ).withColumn("first", F.col("last") - F.col("n") + 1)
-    holds = F.lit(False)
-    for q in quantiles:
-        position = F.lit(float(q)) * (F.col("total") - 1)
-        holds = holds | (
-            (F.col("first") <= F.ceil(position)) & (F.col("last") >= F.floor(position))
-        )
-    ranked = ranked.withColumn("wanted", holds & F.col("bin").isNotNull())
-
-    # At most two bins per metric and quantile are wanted: broadcast is bounded.
-    wanted_bins = ranked.where("wanted").select("metric", "bin")
-    exact = merged.join(F.broadcast(wanted_bins), ["metric", "bin"], "left_semi")
-    rest = ranked.where(~F.col("wanted"))
-    compact = exact.select("metric", "value", "n").unionByName(rest.select("metric", "value", "n"))
-    percentages = F.array(*(F.lit(float(q)) for q in quantiles))
-    values = compact.groupBy("metric").agg(F.percentile("value", percentages, F.col("n")).alias("values"))
-    return _labelled(values, quantiles)
+    ranked = bins.select("metric", "bin", "n", upto.alias("upto"), total.alias("total"))
+    return ranked.where(holds).select("metric", "bin")
 
 
 def threshold_values(table: DataFrame) -> dict[str, dict[str, float]]:

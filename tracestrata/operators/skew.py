@@ -16,6 +16,9 @@ from tracestrata.settings import HOT_KEY_ROWS
 MAX_HOT_KEYS = 1_000
 _TRACKED_KEYS = 10_000
 
+# A narrow table of this many rows is small enough to send to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 def key_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(c) for c in columns))
@@ -51,13 +54,17 @@ def keyed_join(
     key: str,
     how: str = "inner",
     min_rows: int = HOT_KEY_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Equi-join of many `rows` with a `table` holding a few rows per key.
 
-    Ordinary keys take whatever join Spark picks. Rows of hot keys are never
-    shuffled: the table's rows for them number at most `MAX_HOT_KEYS` times the
-    rows per key, so that part is broadcast.
+    A table counted to have at most `broadcast_rows` rows is broadcast. Beyond
+    that, ordinary keys take whatever join Spark picks, while rows of hot keys
+    are still not shuffled: the table's rows for them number at most
+    `MAX_HOT_KEYS` times the rows per key, so that part is broadcast.
     """
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), key, how)
     hot = hot_keys(rows, [key], min_rows)
     if not hot:
         return rows.join(table, key, how)

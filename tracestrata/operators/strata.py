@@ -16,24 +16,9 @@ from tracestrata.functions import vocabulary as V
 from tracestrata.settings import LABELS
 
 
-def _cuts(
-    table: DataFrame | Mapping[str, Mapping[str, float]], names: Sequence[str], count: int
+def _literal_cuts(
+    table: Mapping[str, Mapping[str, float]], names: Sequence[str], count: int
 ) -> dict[str, list[Column]]:
-    """Ascending cut values per metric.
-
-    A table of thresholds (one row per metric) becomes a scalar subquery: Spark
-    evaluates it once and the classification stays free of joins.
-    """
-    if isinstance(table, DataFrame):
-        packed = table.agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("metric", F.array_sort(F.map_values("thresholds"))))
-            )
-        ).scalar()
-        return {
-            m: [F.get(F.try_element_at(packed, F.lit(m)), F.lit(i)) for i in range(count)]
-            for m in names
-        }
     if not table:
         raise ContractError("thresholds are empty")
     cuts = {}
@@ -50,15 +35,31 @@ def classify(
     labels: Sequence[str] = LABELS,
     names: Sequence[str] = V.METRICS,
 ) -> DataFrame:
-    """Add one category per metric and the stratum id that joins them."""
+    """Add one category per metric and the stratum id that joins them.
+
+    A table of thresholds (one row per metric) enters as a scalar subquery that
+    Spark evaluates once, so the classification stays map-only either way.
+    """
     C.require_columns(metrics, names, "metrics")
-    cuts = _cuts(thresholds, names, len(labels) - 1)
-    categorised = metrics.withColumns(
-        {f"{m}_cat": S.category(F.col(m), cuts[m], labels) for m in names}
-    )
-    return categorised.withColumn(
-        "strato_id", F.concat_ws("|", *(F.col(f"{m}_cat") for m in names))
-    )
+    count = len(labels) - 1
+    columns = metrics.columns
+    if isinstance(thresholds, DataFrame):
+        ascending = F.array_sort(F.map_values("thresholds"))
+        packed = thresholds.agg(
+            F.map_from_entries(F.collect_list(F.struct("metric", ascending)))
+        )
+        metrics = metrics.withColumn("_cuts", packed.scalar())
+        cuts = {
+            m: [F.get(F.try_element_at("_cuts", F.lit(m)), F.lit(i)) for i in range(count)]
+            for m in names
+        }
+    else:
+        cuts = _literal_cuts(thresholds, names, count)
+    categories = [f"{m}_cat" for m in names]
+    return metrics.select(
+        *columns,
+        *(S.category(F.col(m), cuts[m], labels).alias(c) for m, c in zip(names, categories)),
+    ).withColumn("strato_id", F.concat_ws("|", *categories))
 
 
 def strata_distribution(stratified: DataFrame) -> DataFrame:

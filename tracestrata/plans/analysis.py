@@ -125,7 +125,7 @@ def run_comparison(spark: SparkSession, settings: AnalysisSettings) -> DataFrame
 
     alike = K.similarity(nodes, edges, K.ordered_pairs(spark))
     tables.write_report(alike, settings.path(SIMILARITY))
-    pairs = K.unordered_pairs(spark)
+    pairs = K.modelled_pairs(K.unordered_pairs(spark), groups)
     distances = K.manhattan_tvd(edges, groups, pairs)
     tables.write_report(_titled(distances, _DISTANCE_TITLES), settings.path(DISTANCES))
     deltas = [

@@ -123,7 +123,7 @@ def ingest_hours(
     store: Store,
     requested: DataFrame,
     force: bool = False,
-    batch_hours: int = 168,
+    batch_hours: int = 720,
 ) -> DataFrame:
     """Ingest the requested hours and return (hour, outcome, total, distilled, bad).
 

@@ -27,10 +27,10 @@ def stream_ingest(
     """
 
     def commit(batch: DataFrame, _: int) -> None:
-        write_hours(batch, store)
+        write_hours(archive.flag_and_flatten(batch), store)
 
     return (
-        archive.flag_and_flatten(archive.stream_archive(spark, landing, files_per_trigger))
+        archive.stream_archive(spark, landing, files_per_trigger)
         .writeStream.foreachBatch(commit)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
