@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracestrata import ensure_utc
@@ -24,6 +24,13 @@ _ISSUE_ACTIONS = ("opened", "reopened", "closed")
 _REQUEST_ACTIONS = ("opened", "reopened", "closed", "synchronize")
 
 
+def _choose(value: Column, names: dict) -> Column:
+    chosen = F
+    for key, name in names.items():
+        chosen = chosen.when(value == key, name)
+    return chosen
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -35,12 +42,20 @@ def events(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """
     ensure_utc(spark)
     k, kind = F.col("k"), F.col("event_type")
-    raw = table(spark, folder, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("long")
+    action = (
+        F.when(kind == "view", "started")
+        .when(kind == "error", _choose(k % 3, dict(enumerate(_ISSUE_ACTIONS))))
+        .when(kind == "purchase", _choose(k % 4, dict(enumerate(_REQUEST_ACTIONS))))
+    )
+    # Generated, not projected: a filter on a projected column is rewritten to
+    # repeat the column's definition, JSON parsing included, at every mention.
+    parsed = F.get_json_object("props", "$.k").cast("long").alias("k")
+    derived = F.struct(_choose(kind, _ACTIVITY).alias("activity"), action.alias("action"))
+    raw = (
+        table(spark, folder, "events")
+        .select("*", F.inline(F.array(F.struct(parsed))))
+        .select("*", F.inline(F.array(derived)))
     )
-    activity = F.create_map(*(F.lit(x) for pair in _ACTIVITY.items() for x in pair))[kind]
-    issue = F.element_at(F.array(*map(F.lit, _ISSUE_ACTIONS)), (k % 3 + 1).cast("int"))
-    request = F.element_at(F.array(*map(F.lit, _REQUEST_ACTIONS)), (k % 4 + 1).cast("int"))
     return raw.select(
         (F.col("user_id") * 4 + F.col("event_id") % 4).alias("repo_id"),
         F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo_name"),
@@ -48,13 +63,10 @@ def events(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
         F.when(k % 20 == 0, "ci[bot]")
         .otherwise(F.concat(F.lit("u"), (k % 3).cast("string")))
         .alias("actor_login"),
-        activity.alias("activity"),
-        S.payload_name(activity).alias("payload_type"),
+        "activity",
+        S.payload_name(F.col("activity")).alias("payload_type"),
         F.col("ts").cast("timestamp").alias("timestamp"),
-        F.when(kind == "view", "started")
-        .when(kind == "error", issue)
-        .when(kind == "purchase", request)
-        .alias("action"),
+        "action",
         F.when(kind == "click", F.col("value")).alias("push_size"),
         F.when(kind == "signup", F.when(k % 2 == 0, "repository").otherwise("branch")).alias(
             "create_ref_type"

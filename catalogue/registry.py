@@ -167,6 +167,17 @@ def events_of_born_repos(spark, folder):
     return born.select("event_seq", "repo_id", "activity", "action")
 
 
+@register(
+    "dataset_counts",
+    sql.query(
+        "SELECT count(*) AS events, count(DISTINCT repo_id) AS repositories, "
+        f"count(DISTINCT CASE WHEN {sql.CREATION} THEN repo_id END) AS created FROM ev"
+    ),
+)
+def dataset_counts(spark, folder):
+    return M.dataset_counts(inputs.events(spark, folder))
+
+
 _METRIC_COLUMNS = ["repo_id", "age_in_days", *V.METRICS]
 _COUNTS = ("collaboration_intensity_cum", "community_engagement_cum", "external_popularity_cum")
 _METRICS_SQL = sql.query(

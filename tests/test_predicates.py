@@ -102,6 +102,8 @@ def test_step_names(events):
         "PushEvent",
         None,
     ]
+    named = [n is not None for n in truth(df, P.step_name(df.columns))]
+    assert truth(df, P.has_step_name(df.columns)) == named
 
 
 def test_step_names_of_a_reduced_schema(events):

@@ -6,7 +6,7 @@ takes the ``otherwise`` branch in ``when``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 from operator import or_
 
@@ -60,32 +60,49 @@ def is_human(login: str = "actor_login") -> Column:
     return ~is_bot(login)
 
 
-def step_name(columns: Iterable[str], activity: str = "activity") -> Column:
+def _suffix(column: str, present: Collection[str]) -> Column:
+    """The naming suffix, or its stand-in when the input lacks the column."""
+    if column in present:
+        return F.col(column)
+    return F.col("action") if column == "review_state" else F.lit("ref")
+
+
+def step_name(columns: Collection[str], activity: str = "activity") -> Column:
     """Event type refined by what happened; null when its suffix is null.
 
     `columns` are those the input has. Without a review state the action names
     the review, without a ref type the suffix is the constant ``ref``, and
     without a merge flag closed pull requests stay ``closed``.
     """
-    present = set(columns)
     kind = F.col(activity)
-
-    def suffix(column: str) -> Column:
-        if column in present:
-            return F.col(column)
-        return F.col("action") if column == "review_state" else F.lit("ref")
-
     outcome = F
-    if "pr_merged" in present:
+    if "pr_merged" in columns:
         closed = (kind == "PullRequestEvent") & (F.col("action") == "closed")
         outcome = F.when(closed & F.col("pr_merged"), "PullRequestEvent_merged").when(
             closed & ~F.col("pr_merged"), "PullRequestEvent_rejected"
         )
-    for name, column in V.STEP_SUFFIX.items():
-        outcome = outcome.when(kind == name, F.concat(kind, F.lit("_"), suffix(column)))
+    for column, names in _suffixed_by().items():
+        name = F.concat(kind, F.lit("_"), _suffix(column, columns))
+        outcome = outcome.when(kind.isin(names), name)
     return outcome.otherwise(kind)
 
 
+def has_step_name(columns: Collection[str], activity: str = "activity") -> Column:
+    """Whether `step_name` is non-null, without building the name."""
+    kind = F.col(activity)
+    named = kind.isNotNull()
+    for column, names in _suffixed_by().items():
+        named = named & (~kind.isin(names) | _suffix(column, columns).isNotNull())
+    return named
+
+
+def _suffixed_by() -> dict[str, list[str]]:
+    groups: dict[str, list[str]] = {}
+    for name, column in V.STEP_SUFFIX.items():
+        groups.setdefault(column, []).append(name)
+    return groups
+
+
 def has_required_fields() -> Column:
     """A raw event is usable when these are present; null parents count as empty."""
     required = ("repo.name", "type", "created_at", "actor.id")

@@ -19,9 +19,9 @@ _MICROS_PER_HOUR = 3_600_000_000
 
 def named_events(events: DataFrame) -> DataFrame:
     """Human core-workflow events with their step name; nameless steps drop out."""
-    core = events.where(P.is_human() & P.is_core_workflow())
-    named = core.withColumn("step", P.step_name(events.columns))
-    return named.where(F.col("step").isNotNull())
+    columns = events.columns
+    core = events.where(P.is_human() & P.is_core_workflow() & P.has_step_name(columns))
+    return core.withColumn("step", P.step_name(columns))
 
 
 def event_log(

@@ -25,6 +25,17 @@ def creation_events(events: DataFrame) -> DataFrame:
     return events.where(P.is_repo_creation()).select("repo_id", "timestamp")
 
 
+def dataset_counts(events: DataFrame) -> DataFrame:
+    """One row: events, repositories seen, and repositories created."""
+    return events.groupBy("repo_id").agg(
+        F.count("*").alias("n"), F.max(P.is_repo_creation()).alias("born")
+    ).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("events"),
+        F.count("repo_id").alias("repositories"),
+        F.count_if("born").alias("created"),
+    )
+
+
 def _measures(
     popularity: Column, engagement: Column, collaboration: Column, counted: Column
 ) -> list[Column]:

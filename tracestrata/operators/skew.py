@@ -20,6 +20,16 @@ _TRACKED_KEYS = 10_000
 BROADCAST_ROWS = 1_000_000
 
 
+# Inputs with fewer estimated bytes per row of the limit need no splitting at all.
+_BYTES_PER_ROW = 8
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of everything the plan reads; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def key_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(c) for c in columns))
 
@@ -30,7 +40,10 @@ def hot_keys(df: DataFrame, columns: Sequence[str], min_rows: int = HOT_KEY_ROWS
     A mergeable heavy-hitter sketch: one scan of the key columns, no shuffle of
     rows, and at most `MAX_HOT_KEYS` numbers come back to the driver. Fetching
     them once keeps every later use of the set identical, even after a retry.
+    Inputs that as a whole are small enough for one task are not scanned.
     """
+    if estimated_bytes(df) < min_rows * _BYTES_PER_ROW:
+        return []
     sketch = df.select(key_hash(columns).alias("key")).agg(
         F.expr(f"approx_top_k(key, {MAX_HOT_KEYS}, {_TRACKED_KEYS})").alias("top")
     )
