@@ -8,8 +8,10 @@ five archetypes or thousands of cohorts. Matrices are rows of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracestrata.errors import ContractError
@@ -181,15 +183,13 @@ def adjacency(
 
 
 def normalised(matrix: DataFrame, by: str = "archetype") -> DataFrame:
-    """Divide each cell by its matrix's total, unless the total is not positive."""
-    totals = matrix.groupBy(by).agg(F.sum("value").alias("total"))
-    return matrix.join(totals, by).select(
-        by, "source", "target", _scaled(F.col("value"), F.col("total")).alias("value")
-    )
-
+    """Divide each cell by its matrix's total, unless the total is not positive.
 
-def _scaled(value: Column, total: Column) -> Column:
-    return F.when(total > 0, F.try_divide(value, total)).otherwise(value)
+    A group's window holds one matrix: at most activities squared rows.
+    """
+    value, total = F.col("value"), F.sum("value").over(W.partitionBy(by))
+    scaled = F.when(total > 0, F.try_divide(value, total)).otherwise(value)
+    return matrix.select(by, "source", "target", scaled.alias("value"))
 
 
 def wide_matrix(matrix: DataFrame, by: str = "archetype") -> DataFrame:
@@ -204,7 +204,7 @@ def wide_matrix(matrix: DataFrame, by: str = "archetype") -> DataFrame:
 def _named_pairs(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     listed = F.array(*(F.lit(n) for n in names))
     return (
-        spark.range(1)
+        spark.range(0, 1, 1, 1)
         .select(F.posexplode(listed).alias("i", "group_a"))
         .select("i", "group_a", F.posexplode(listed).alias("j", "group_b"))
     )
@@ -233,31 +233,23 @@ def jaccard(
 ) -> DataFrame:
     """Jaccard similarity of the groups' item sets; two empty sets are equal.
 
-    Sets are never collected: sizes are counts, and the intersection is an
-    equi-join on (group, item).
+    Sets are never collected: an item of a pair's union occurs once or twice,
+    twice if both groups have it.
     """
     members = items.select(by, *columns).distinct()
-    sizes = members.groupBy(by).agg(F.count("*").alias("size"))
-    of_a = members.withColumnRenamed(by, "group_a")
-    of_b = members.withColumnRenamed(by, "group_b")
-    shared = (
-        pairs.join(of_a, "group_a")
-        .join(of_b, ["group_b", *columns])
-        .groupBy("group_a", "group_b")
-        .agg(F.count("*").alias("shared"))
-    )
-    result = pairs.join(shared, ["group_a", "group_b"], "left")
-    for side in ("group_a", "group_b"):
-        size = sizes.select(F.col(by).alias(side), F.col("size").alias(f"size_{side}"))
-        result = result.join(size, side, "left")
-    common = F.coalesce("shared", F.lit(0))
-    union = (
-        F.coalesce("size_group_a", F.lit(0)) + F.coalesce("size_group_b", F.lit(0)) - common
+
+    def of(side: str) -> DataFrame:
+        return pairs.join(members.withColumnRenamed(by, side), side).select(
+            "group_a", "group_b", *columns
+        )
+
+    union = of("group_a").unionByName(of("group_b"))
+    item_counts = union.groupBy("group_a", "group_b", *columns).agg(F.count("*").alias("owners"))
+    shares = item_counts.groupBy("group_a", "group_b").agg(
+        (F.count_if(F.col("owners") == 2) / F.count("*")).alias("similarity")
     )
-    return result.select(
-        "group_a",
-        "group_b",
-        F.coalesce(F.try_divide(common, union), F.lit(1.0)).alias("similarity"),
+    return pairs.join(shares, ["group_a", "group_b"], "left").withColumn(
+        "similarity", F.coalesce("similarity", F.lit(1.0))
     )
 
 
@@ -350,16 +342,18 @@ def similarity(
 ) -> DataFrame:
     """The four global similarity matrices in long form, for every given pair."""
     groups = models(nodes, by)
-    key = ["group_a", "group_b"]
+    dense = adjacency(groups, edges, "performance", by)
     parts = {
         "jaccard_nodes": jaccard(nodes, pairs, ["activity"], by),
         "jaccard_edges": jaccard(edges, pairs, ["source", "target"], by),
         "frobenius_frequency": frobenius(cells(edges, "frequency", by), groups, pairs, by),
-        "frobenius_performance": frobenius(
-            adjacency(groups, edges, "performance", by), groups, pairs, by
-        ),
+        "frobenius_performance": frobenius(dense, groups, pairs, by),
     }
-    result = pairs
-    for name, part in parts.items():
-        result = result.join(part.toDF(*key, name), key)
-    return result
+    tagged = (
+        part.toDF("group_a", "group_b", "value").withColumn("measure", F.lit(name))
+        for name, part in parts.items()
+    )
+    of_measure = [
+        F.max(F.when(F.col("measure") == name, F.col("value"))).alias(name) for name in parts
+    ]
+    return reduce(DataFrame.unionByName, tagged).groupBy("group_a", "group_b").agg(*of_measure)
