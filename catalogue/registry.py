@@ -160,7 +160,7 @@ def creation_lookup(spark, folder):
 )
 def events_of_born_repos(spark, folder):
     events = inputs.events(spark, folder)
-    lookup = M.creation_lookup(M.creation_events(events))
+    lookup = materialize(M.creation_lookup(M.creation_events(events)))
     born = keyed_join(
         events.select("event_seq", "repo_id", "activity", "action"), lookup, "repo_id", "left_semi"
     )

@@ -91,7 +91,7 @@ def test_split_join_equals_plain_join(rows, spark):
     big = rows(data, "repo_id long, x long")
     table = rows([(k, a) for k in (1, 2, 3, 50) for a in ("p", "q")], "repo_id long, archetype string")
     plain = big.join(table, "repo_id").select("repo_id", "x", "archetype")
-    for broadcast_rows, min_rows in ((100, 5), (1, 100), (1, 10_000)):
+    for broadcast_rows, min_rows in ((100, 5), (4, 100), (1, 100), (1, 10_000)):
         got = skew.keyed_join(big, table, "repo_id", "inner", min_rows, broadcast_rows)
         got = got.select("repo_id", "x", "archetype")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))

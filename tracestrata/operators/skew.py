@@ -72,17 +72,24 @@ def keyed_join(
     """Equi-join of many `rows` with a `table` holding a few rows per key.
 
     A table counted to have at most `broadcast_rows` rows is broadcast. Beyond
-    that, ordinary keys take whatever join Spark picks, while rows of hot keys
-    are still not shuffled: the table's rows for them number at most
-    `MAX_HOT_KEYS` times the rows per key, so that part is broadcast.
+    that, ordinary keys take whatever join Spark picks. Rows of hot keys are
+    still not shuffled as long as the table's rows for those keys, again by
+    count, are few enough to broadcast; otherwise Spark splits the skewed
+    partitions of its own join.
     """
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+
+    def small(df: DataFrame) -> bool:
+        return df.limit(broadcast_rows + 1).count() <= broadcast_rows
+
+    if small(table):
         return rows.join(F.broadcast(table), key, how)
     hot = hot_keys(rows, [key], min_rows)
     if not hot:
         return rows.join(table, key, how)
     rows_cold, rows_hot = split(rows, [key], hot)
     table_cold, table_hot = split(table, [key], hot)
+    if not small(table_hot):
+        return rows.join(table, key, how)
     return rows_cold.join(table_cold, key, how).unionByName(
         rows_hot.join(F.broadcast(table_hot), key, how)
     )
