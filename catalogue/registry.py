@@ -21,7 +21,7 @@ from tracestrata.operators import mining, quantiles, strata
 from tracestrata.operators.skew import keyed_join
 from tracestrata.plans import ingest
 from tracestrata.settings import QUANTILES
-from tracestrata.sources import archive, dataset, ledger
+from tracestrata.sources import archive, dataset, ledger, tables
 from tracestrata.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,6 +727,40 @@ def adjacency_display(spark, folder):
     )
 
 
+@register(
+    "adjacency_wide",
+    sql.query(
+        "SELECT grp AS archetype, source AS activity, "
+        + ", ".join(
+            f"max(CASE WHEN target = '{a}' THEN value END) AS {a}" for a in V.SKELETON
+        )
+        + " FROM freq GROUP BY 1, 2",
+        **_COHORT,
+    ),
+)
+def adjacency_wide(spark, folder):
+    _, nodes, edges = _model(spark, folder)
+    return K.wide_matrix(K.adjacency(K.models(nodes), edges, "frequency"))
+
+
+@register("stored_model", sql.query(_EDGE_SQL, **_COHORT))
+def stored_model(spark, folder):
+    """The model tables after a round trip through storage."""
+    _, nodes, edges = _model(spark, folder)
+    output = scratch_dir(spark, "model")
+    tables.write_model(nodes, edges, output)
+    columns = ["archetype", "source", "target", "frequency", "mean_seconds", "dependency", "kind"]
+    return rounded(tables.read_model(spark, output)[1].select(columns))
+
+
+@register("stored_strata", sql.query("SELECT repo_id, age_in_days, strato_id FROM strata"))
+def stored_strata(spark, folder):
+    """Stratified repositories after a round trip through storage."""
+    path = f"{scratch_dir(spark, 'strata')}/repositories.parquet"
+    tables.write_table(_stratified(spark, folder), path)
+    return tables.read_stratified(spark, path).select("repo_id", "age_in_days", "strato_id")
+
+
 # --- comparison --------------------------------------------------------------
 
 
@@ -962,6 +996,54 @@ def _ingested(spark: SparkSession, folder: str) -> Store:
     return store
 
 
+@register(
+    "reprocess_gate",
+    sql.query(
+        "SELECT strftime(r.moment, '%Y-%m-%d-') || extract(hour FROM r.moment) AS hour, "
+        "CASE WHEN h.moment IS NOT NULL THEN 'SKIPPED_PROCESSED' "
+        "WHEN p.moment IS NULL THEN 'FAILED_404' ELSE 'to read' END AS outcome "
+        "FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(timestamp)) FROM ev), "
+        "(SELECT date_trunc('hour', max(timestamp)) FROM ev), INTERVAL 1 HOUR)) AS moment) r "
+        "LEFT JOIN hours h USING (moment) LEFT JOIN (SELECT DISTINCT "
+        "date_trunc('hour', timestamp) AS moment FROM ev WHERE activity = 'PushEvent') p "
+        "USING (moment)"
+    ),
+)
+def reprocess_gate(spark, folder):
+    """All hours are requested; those with bots are processed, those with pushes landed."""
+    events = inputs.events(spark, folder)
+    span = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    steps = F.sequence(
+        F.date_trunc("hour", "lo"), F.date_trunc("hour", "hi"), F.expr("interval 1 hour")
+    )
+    requested = span.select(F.explode(steps).alias("t")).select(
+        S.hour_stamp(F.col("t")).alias("hour")
+    )
+    state = inputs.bot_hours(spark, folder).withColumn("status", F.lit(V.PROCESSED))
+    pushes = events.where(F.col("activity") == "PushEvent")
+    landed = pushes.select(S.hour_stamp(F.col("timestamp")).alias("hour")).distinct()
+    planned = ingest.plan_hours(requested, state, landed.withColumn("path", F.col("hour")))
+    return planned.select("hour", F.coalesce("outcome", F.lit("to read")).alias("outcome"))
+
+
+@register(
+    "complete_days",
+    sql.query(
+        "SELECT day FROM (SELECT CAST(timestamp AS DATE) AS day, "
+        "count(DISTINCT date_trunc('hour', timestamp)) AS n FROM ev GROUP BY 1) WHERE n = 24"
+    ),
+)
+def complete_days(spark, folder):
+    """Days whose 24 hours all have events."""
+    hour = S.hour_stamp(F.col("timestamp")).alias("hour")
+    settled = inputs.events(spark, folder).select(hour).distinct().select(
+        "hour",
+        F.to_date(S.hour_time(F.col("hour"))).alias("day"),
+        F.lit(V.PROCESSED).alias("status"),
+    )
+    return ledger.complete_days(settled)
+
+
 _DISTILLED_SQL = sql.query(
     "SELECT event_seq, repo_id, repo_name, actor_id, actor_login, activity, action, "
     "CASE activity WHEN 'IssuesEvent' THEN 'Issue' ELSE replace(activity, 'Event', '') END "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracestrata import ContractError, MissingDataError, DataPreparationError, Store
 from tracestrata.plans import ingest
 from tracestrata.plans.validate import coverage_report
-from tracestrata.sources import archive, dataset, ledger
+from tracestrata.sources import dataset, ledger
 from tracestrata.streaming.ingest import stream_ingest
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracestrata.errors import MissingDataError
 from tracestrata.functions import scalars as S
-from tracestrata.functions import vocabulary as V
 from tracestrata.operators import comparison as K
 from tracestrata.operators import eventlog, metrics, mining, quantiles, strata
 from tracestrata.session import ensure_utc
