@@ -1,16 +1,18 @@
 """Repeated passages: prefix-partitioned suffix trees over the words of all documents.
 
 Method. A repeat of `length` words holds the same minimiser: of the k-word
-prefixes that begin inside it, the one with the smallest hash. Only suffixes
-that begin at a minimiser are sorted into groups by that prefix (about two in
-nine); a group whose suffixes all come from one document is a leaf of the
-suffix tree and is dropped. The suffixes of the others carry the words around
-them, and each group's subtree is built: its suffixes are sorted, neighbours
-with `length` words in common meet in a node of that depth, and the node's
-smallest document keeps the passage. Groups with more than `hot` suffixes get
-a longer prefix, all `length` words, so that a group holds one passage; its
-smallest document is then a pre-aggregated minimum and no task gets the group.
-
+prefixes that begin inside it, the one with the smallest hash. So suffixes are
+sorted into groups by the prefix at their minimiser (about two in nine words
+begin one). A prefix of a single document is a leaf of the suffix tree and is
+dropped before any suffix is sent. The other groups' subtrees are built: a
+suffix is sent with the path labels of its nodes at depth `length` (64-bit
+fingerprints of those words); sorted by label, suffixes that meet in a node
+stand together, and the smallest document among them keeps the passage. Groups
+of more than `hot` documents get a longer prefix, all `length` words, so that a
+group holds one passage; its smallest document is then a pre-aggregated
+minimum, joined back, and no task gets the group.
+
+Within a document every passage is sent once, however often it repeats there.
 Texts are shuffled once, by document; the marks are joined to that shuffle.
 
 Defined results. Windows are judged on the input. Null text: no words. A null
@@ -25,177 +27,208 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracestrata import materialize
-from tracestrata.llm.text import Words, slices
+from tracestrata.llm.text import Words, mix, slices
 
 LENGTH = 13
 PREFIX = 6
-# Suffixes of one prefix that a task holds at most, at about 100 bytes each.
-HOT = 20_000
+# Documents of one prefix that a task sorts at most, at about 60 bytes each.
+HOT = 250_000
 
 
-class Anchors:
-    """Minimiser of every window of a slice: runs of windows that share one."""
+class Windows:
+    """Every window of a slice: row, place in its row, fingerprint, prefix at its minimiser."""
 
     def __init__(self, column: pa.Array, length: int, prefix: int):
-        self.words = words = Words(column)
+        words = Words(column)
         grams = words.grams(prefix)
         n = max(0, len(words.hash) - length + 1)
-        span = length - prefix + 1
+        valid = np.flatnonzero(words.whole(length))
         if n:
-            view = np.lib.stride_tricks.sliding_window_view(grams, span)[:n]
-            place = np.arange(n) + view.argmin(axis=1)
+            view = np.lib.stride_tricks.sliding_window_view(grams, length - prefix + 1)[:n]
+            # 48 bits are enough to tell prefixes apart and are less to send.
+            self.prefix = (grams[np.arange(n) + view.argmin(axis=1)][valid] >> np.uint64(16)).astype(np.int64)
         else:
-            place = np.zeros(0, np.int64)
-        valid = np.flatnonzero(words.whole(length))
-        place, doc = place[valid], words.doc[valid]
-        new = np.ones(len(valid), bool)
-        new[1:] = (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1)
-        head = np.flatnonzero(new)
-        self.doc = doc[head]
-        self.window = valid[head]  # first window of the run, in words of the slice
-        self.windows = np.diff(np.append(head, len(valid)))
-        self.prefix = grams[place[head]].astype(np.int64)
-        self.begin = self.window - words.first[self.doc]  # the same, in words of the document
-
-
-def _anchors(docs: DataFrame, length: int, prefix: int) -> DataFrame:
+            self.prefix = np.zeros(0, np.int64)
+        self.doc = words.doc[valid]
+        self.begin = valid - words.first[self.doc]
+        self.label = words.grams(length)[valid].astype(np.int64)
+
+    def named(self, lists: pa.Array) -> np.ndarray:
+        """For each window, whether its row's list holds its prefix."""
+        lists = lists.fill_null([]) if lists.null_count else lists
+        size = np.asarray(pc.list_value_length(lists), np.int64)
+        listed = np.asarray(lists.flatten(), np.int64)
+        owner = mix(np.repeat(np.arange(len(lists)), size).astype(np.uint64)) ^ listed.astype(np.uint64)
+        return np.isin(mix(self.doc.astype(np.uint64)) ^ self.prefix.astype(np.uint64), owner)
+
+
+def _prefixes(docs: DataFrame, length: int, prefix: int) -> DataFrame:
+    """(prefix, doc_id), once for each document and prefix."""
+
     def task(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                part = part.filter(part.column("doc_id").is_valid())
-                found = Anchors(part.column("text"), length, prefix)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            for part in slices(batch.filter(batch.column("doc_id").is_valid()), "text"):
+                found = Windows(part.column("text"), length, prefix)
+                order = np.lexsort((found.prefix, found.doc))
+                doc, key = found.doc[order], found.prefix[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.prefix), pa.array(ids[found.doc].astype(np.int64)),
-                     pa.array(found.begin.astype(np.int32))],
-                    names=["prefix", "doc_id", "begin"],
-                )
+                    [pa.array(key[new]), pa.array(ids[doc[new]])], names=["prefix", "doc_id"]
+                )
 
-    return docs.mapInArrow(task, "prefix long, doc_id long, begin int")
+    return docs.mapInArrow(task, "prefix long, doc_id long")
 
 
-_SUFFIX = "prefix long, doc_id long, begin int, context binary, passage long"
+_SUFFIX = "prefix long, doc_id long, begin int, labels binary, hot boolean"
 
 
 def _suffixes(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """Suffixes of shared prefixes with their words (32 bits each); one row per window if hot."""
+    """Suffixes of shared prefixes: runs of windows with their labels; one window a row if hot."""
 
     def task(batches):
         for batch in batches:
             for part in slices(batch.filter(batch.column("shared").is_valid()), "text"):
-                found = Anchors(part.column("text"), length, prefix)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                shared = part.column("shared").to_pylist()
-                word = (found.words.hash >> np.uint64(32)).astype("<u4")
-                passages = found.words.grams(length).astype(np.int64)
-                edge = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
-                out: list[list] = [[], [], [], [], []]
-
-                def add(key, doc_id, at, first, windows, passage):
-                    row = (key, doc_id, at, word[first : first + windows + length - 1].tobytes(), passage)
-                    for column, value in zip(out, row):
-                        column.append(value)
-
-                for i, wanted in enumerate(shared):
-                    begins = found.begin[edge[i] : edge[i + 1]]
-                    for mark in wanted:
-                        j = edge[i] + int(np.searchsorted(begins, mark["begin"]))
-                        if j >= edge[i + 1] or found.begin[j] != mark["begin"]:
-                            continue  # of another row with this doc_id
-                        key, at, first = int(found.prefix[j]), int(found.begin[j]), int(found.window[j])
-                        if mark["hot"]:
-                            for k in range(int(found.windows[j])):
-                                add(key, int(ids[i]), at + k, first + k, 1, int(passages[first + k]))
-                        else:
-                            add(key, int(ids[i]), at, first, int(found.windows[j]), None)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(out, kinds)],
-                    names=["prefix", "doc_id", "begin", "context", "passage"],
+                found = Windows(part.column("text"), length, prefix)
+                hot = found.named(part.column("hot"))
+                at = np.flatnonzero(found.named(part.column("shared")))
+                order = at[np.lexsort((found.begin[at], found.label[at], found.doc[at]))]
+                first = np.ones(len(order), bool)
+                first[1:] = (found.doc[order][1:] != found.doc[order][:-1]) | (
+                    found.label[order][1:] != found.label[order][:-1]
+                )
+                at = np.sort(order[first])
+                head = np.ones(len(at), bool)
+                head[1:] = (
+                    (at[1:] != at[:-1] + 1) | (found.doc[at][1:] != found.doc[at][:-1])
+                    | (found.prefix[at][1:] != found.prefix[at][:-1]) | hot[at][1:]
                 )
+                run = np.flatnonzero(head)
+                ends = (np.append(run, len(at)) * 8).astype(np.int32)
+                labels = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(run),
+                    [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(found.label[at].astype("<i8").tobytes())],
+                )
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.prefix[at][run]), pa.array(ids[found.doc[at][run]]),
+                     pa.array(found.begin[at][run].astype(np.int32)), labels, pa.array(hot[at][run])],
+                    names=["prefix", "doc_id", "begin", "labels", "hot"],
+                )
 
     return docs.mapInArrow(task, _SUFFIX)
 
 
-def _subtree(rows: list[tuple], length: int):
-    """(doc_id, first word, end) of the passages of one prefix that a smaller document has as well.
+def _repeats(suffixes: DataFrame) -> DataFrame:
+    """(doc_id, first window, end of windows) whose passages a smaller document has as well.
 
-    The suffixes are sorted; those that agree in `length` words stand side by
-    side below one node of that depth.
+    A task takes its groups in order and builds the subtrees of all that are
+    complete at once; only the last group waits for the next batch.
     """
-    wide = 4 * length
-    leaves = sorted(
-        (context[4 * k : 4 * k + wide], doc_id, begin + k)
-        for doc_id, begin, context in rows
-        for k in range(len(context) // 4 - length + 1)
-    )
-    node, owner = None, None
-    for passage, doc_id, begin in leaves:
-        if passage != node:
-            node, owner = passage, doc_id
-        elif doc_id > owner:
-            yield doc_id, begin, begin + length
 
+    def subtrees(rows: pa.RecordBatch):
+        size = np.asarray(pc.binary_length(rows.column("labels")), np.int64) // 8
+        label = np.frombuffer(b"".join(rows.column("labels").to_pylist()), "<i8")
+        owner = np.repeat(np.arange(len(size)), size)
+        doc = rows.column("doc_id").to_numpy()[owner]
+        begin = rows.column("begin").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(
+            np.cumsum(size) - size, size
+        )
+        order = np.lexsort((doc, label))
+        node = np.ones(len(order), bool)
+        node[1:] = label[order][1:] != label[order][:-1]
+        least = doc[order][np.maximum.accumulate(np.where(node, np.arange(len(order)), 0))]
+        again = np.zeros(len(order), bool)
+        again[order] = doc[order] > least
+        at = np.flatnonzero(again)
+        head = np.ones(len(at), bool)
+        head[1:] = (at[1:] != at[:-1] + 1) | (owner[at][1:] != owner[at][:-1])
+        start = np.flatnonzero(head)
+        last = (np.append(start[1:], len(at)) - 1)[: len(start)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[at][start]), pa.array(begin[at][start].astype(np.int32)),
+             pa.array((begin[at][last] + 1).astype(np.int32))],
+            names=["doc_id", "begin", "end"],
+        )
 
-def _repeats(suffixes: DataFrame, length: int) -> DataFrame:
     def task(batches):
-        key, group = None, []
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("prefix", "doc_id", "begin", "context"))
-            for prefix, doc_id, begin, context in zip(*columns):
-                if prefix != key:
-                    out += _subtree(group, length)
-                    key, group = prefix, []
-                group.append((doc_id, begin, context))
-            yield _spans(out)
-        yield _spans(list(_subtree(group, length)))
-
-    def _spans(out):
-        docs, begins, ends = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
-            names=["doc_id", "begin", "end"],
-        )
+            if not batch.num_rows:
+                continue
+            keys = batch.column("prefix").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # sorted: where the last group begins
+            if cut or waiting and waiting[-1].column("prefix")[0].as_py() != keys[0]:
+                ready = pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks()
+                for part in ready.to_batches():
+                    yield subtrees(part)
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            for part in pa.Table.from_batches(waiting).combine_chunks().to_batches():
+                yield subtrees(part)
 
     grouped = suffixes.repartition("prefix").sortWithinPartitions("prefix")
-    return grouped.select("prefix", "doc_id", "begin", "context").mapInArrow(
+    return grouped.select("prefix", "doc_id", "begin", "labels").mapInArrow(
         task, "doc_id long, begin int, end int"
     )
 
 
+def _covered(text: pa.Array, spans: pa.Array, length: int) -> tuple[list[int], np.ndarray]:
+    """Words of each text, and which of all words lie in a passage like one of the marked windows."""
+    words = Words(text)
+    label = words.grams(length)
+    size = np.asarray(pc.list_value_length(spans), np.int64)
+    fields = spans.flatten()
+    begin, end = (np.asarray(fields.field(k), np.int64) for k in (0, 1))
+    doc = np.repeat(np.arange(len(size)), size)
+    inside = end <= words.count[doc] - length + 1  # else of another row with this doc_id
+    begin, end, doc = begin[inside], end[inside], doc[inside]
+    width = end - begin
+    marked = np.repeat(words.first[doc] + begin - (np.cumsum(width) - width), width) + np.arange(width.sum())
+    owner = mix(words.doc.astype(np.uint64))
+    valid = np.flatnonzero(words.whole(length))
+    hit = valid[np.isin(label[valid] ^ owner[valid], label[marked] ^ owner[marked])]
+    edges = np.zeros(len(words.hash) + 1, np.int64)
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + length, -1)
+    return words.count.tolist(), np.cumsum(edges[:-1]) > 0
+
+
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot: int = HOT
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text), kept_sha256 of every row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    # One shuffle of the anchors serves the aggregate and the join: both read
+    # One shuffle of the prefixes serves the aggregate and the join: both read
     # the same columns and drop the same nulls, so Spark makes it once.
-    anchors = _anchors(docs, length, prefix)
-    anchors = anchors.where(" and ".join(f"{c} is not null" for c in anchors.columns)).repartition("prefix")
+    found = _prefixes(docs, length, prefix)
+    found = found.where("prefix is not null and doc_id is not null").repartition("prefix")
     shared = (
-        anchors.groupBy("prefix")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("begin").alias("n"))
-        .where("low < high").select("prefix", (F.col("n") > hot).alias("hot"))
+        found.groupBy("prefix")
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        .where("low < high").select("prefix", F.when(F.col("n") > hot, F.col("prefix")).alias("hot"))
     )
     marks = materialize(
-        anchors.join(shared, "prefix").groupBy("doc_id")
-        .agg(F.collect_set(F.struct("begin", "hot")).alias("shared"), F.max("hot").alias("any_hot"))
+        found.join(shared, "prefix").groupBy("doc_id")
+        .agg(F.collect_set("prefix").alias("shared"), F.collect_set("hot").alias("hot"))
     )
     # The same for the texts, which are cut into suffixes and later into what stays.
     texts = docs.repartition("doc_id")
-    suffixes = _suffixes(texts.join(marks.select("doc_id", "shared"), "doc_id", "left"), length, prefix)
-    spans = _repeats(suffixes.where("passage is null"), length)
-    if not marks.where("any_hot").isEmpty():
-        single = suffixes.where("passage is not null").select("prefix", "passage", "doc_id", "begin")
-        owner = single.groupBy("prefix", "passage").agg(F.min("doc_id").alias("owner"))
+    suffixes = _suffixes(texts.join(marks, "doc_id", "left"), length, prefix)
+    spans = _repeats(suffixes.where("not hot"))
+    if not marks.where("size(hot) > 0").isEmpty():
+        single = suffixes.where("hot").select("prefix", "labels", "doc_id", "begin")
+        owner = single.groupBy("prefix", "labels").agg(F.min("doc_id").alias("owner"))
         spans = spans.union(
-            single.join(owner, ["prefix", "passage"]).where("doc_id > owner")
-            .select("doc_id", "begin", (F.col("begin") + length).alias("end"))
+            single.join(owner, ["prefix", "labels"]).where("doc_id > owner")
+            .select("doc_id", "begin", (F.col("begin") + 1).alias("end"))
         )
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
@@ -203,17 +236,18 @@ def remove_repeats(
         for batch in batches:
             for part in slices(batch, "text"):
                 total, removed, kept, digest = [], [], [], []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                cut = part.filter(part.column("spans").is_valid())
+                sizes, gone = _covered(cut.column("text"), cut.column("spans"), length)
+                at = 0
+                marked = iter(sizes)
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").is_valid().to_pylist()):
                     words = (text or "").encode().split()
                     total.append(len(words))
                     if spans:
-                        gone = np.zeros(len(words) + 1, np.int64)
-                        begins = np.array([s["begin"] for s in spans])
-                        ends = np.minimum([s["end"] for s in spans], len(words))
-                        np.add.at(gone, np.minimum(begins, len(words)), 1)
-                        np.add.at(gone, np.maximum(ends, np.minimum(begins, len(words))), -1)
-                        cover = np.cumsum(gone[:-1]) > 0
-                        words = [w for w, hit in zip(words, cover.tolist()) if not hit]
+                        n = next(marked)
+                        hit = gone[at : at + n].tolist()
+                        at += n
+                        words = [w for w, removed_ in zip(words, hit) if not removed_]
                     rest = b" ".join(words)
                     removed.append(total[-1] - len(words))
                     kept.append(rest)
