@@ -9,11 +9,14 @@ as for sampling without replacement. Sketches are cut into bands; documents
 that agree in a band are candidates, and every link is confirmed on full sets.
 
 Documents with equal sets form one class and only its smallest id goes on.
-Within a bucket no pairs are listed: every member is held against one leader,
-links are merged into components, members whose component differs from a second
-leader's are held against that one, and only members that are still apart are
-compared with each other. Pairs within a component need no test, so a bucket of
-thousands of copies costs about one comparison per member.
+Within a bucket not all pairs are listed: every member is held against one
+leader, links are merged into components, and members whose component differs
+from a second leader's are held against that one. Pairs within a component need
+no test, so a bucket of thousands of copies costs about one comparison per
+member. What is still apart is compared in full where the bucket has few
+members. Members of crowded buckets are put into blocks of a bounded number of
+shingles, and blocks that share a bucket are compared as matrices in one task
+each; only links leave it.
 
 A pair at similarity s is missed with probability (1 - s^r)^b over b bands of r
 coordinates: 5e-6 at 0.75 with the defaults, less above.
@@ -30,15 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracestrata import materialize
 from tracestrata.llm.components import components
+from tracestrata.llm.joins import sized
 from tracestrata.llm.text import Words, mix, seeds, slices
 
 SHINGLE = 5
 SIMILARITY = 75
 COORDINATES = 128
 ROWS = 4
+# Buckets with more members than this are compared in blocks of so many shingles.
+CROWDED = 16
+BLOCK = 300_000
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -155,6 +163,69 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     return rows.select("a", "b", "text", "text_b").mapInArrow(task, "a long, b long")
 
 
+def _links(left: list, right: list, percent: int, step: int = 128):
+    """(a, b) of the rows (id, component, set) of both sides that are linked and of different components."""
+    for i in range(0, len(left), step):
+        for j in range(0, len(right), step):
+            rows, columns = left[i : i + step], right[j : j + step]
+            sides = []
+            common = np.intersect1d(
+                np.concatenate([r[2] for r in rows]), np.concatenate([c[2] for c in columns])
+            )
+            for part in (rows, columns):
+                matrix = np.zeros((len(part), len(common)), np.float32)
+                for k, (_, _, values) in enumerate(part):
+                    matrix[k, np.searchsorted(common, values[np.isin(values, common, assume_unique=True)])] = 1
+                sides.append(matrix)
+            both = np.rint(sides[0] @ sides[1].T).astype(np.int64)
+            sizes = [np.array([len(r[2]) for r in part]) for part in (rows, columns)]
+            linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+            for x, y in zip(*np.nonzero(linked)):
+                if rows[x][1] != columns[y][1]:
+                    yield rows[x][0], columns[y][0]
+
+
+def crowded_links(docs: DataFrame, members: DataFrame, shingle: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components within the buckets of `members` (bucket, leader, size, component).
+
+    Documents whose buckets hang together are numbered and cut into blocks; a
+    block pair that shares a bucket is one task's work, of a bounded size.
+    """
+    tops = members.groupBy("bucket").agg(F.min("leader").alias("b"))
+    ties = members.join(tops, "bucket").select(F.col("leader").alias("a"), "b").distinct()
+    cluster = components(ties).toDF("leader", "cluster")
+    order = Window.partitionBy("cluster").orderBy("leader").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("size").over(order) - F.col("size")
+    placed = materialize(
+        members.select("leader", "size", "component").distinct().join(cluster, "leader")
+        .select("leader", "component", F.xxhash64("cluster", F.floor(before / block)).alias("block"))
+    )
+    blocks = members.join(placed.select("leader", "block"), "leader").select("bucket", "block").distinct()
+    pairs = (
+        blocks.toDF("bucket", "x").join(blocks.toDF("bucket", "y"), "bucket").where("x <= y")
+        .select("x", "y").distinct()
+    )
+    texts = materialize(
+        docs.withColumnRenamed("doc_id", "leader").join(sized(placed), "leader").dropDuplicates(["leader"])
+    )
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+
+    def task(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        sets = shingle_sets(table.column("text").combine_chunks(), shingle)
+        rows = list(zip(table.column("leader").to_pylist(), table.column("component").to_pylist(), sets))
+        at = table.column("block").to_pylist()
+        left, right = ([r for r, b in zip(rows, at) if b == side] for side in (x, y))
+        found = sorted(_links(left, right, percent))
+        return pa.table(
+            {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
+        )
+
+    rows = sides.join(texts, "block").select("x", "y", "block", "leader", "component", "text")
+    return rows.groupBy("x", "y").applyInArrow(task, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -171,11 +242,13 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("leader"), F.min_by("bands", "doc_id").alias("bands"))
     )
     member = classes.select("leader", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    shared = materialize(
-        member.join(
-            member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"
-        ).select("bucket", "leader", "size")
+    crowded = member.join(
+        member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"
     )
+    # The text that copies were made from shares more buckets with them than they
+    # do with each other: held against it, most of them are linked at once.
+    central = crowded.groupBy("leader").agg(F.sum("members").alias("central"))
+    shared = materialize(crowded.join(central, "leader").select("bucket", "leader", "size", "central"))
     # Sets whose sizes differ by more than the similarity allows are no candidates.
     fits = F.least("size", "top_size") * 100 >= F.greatest("size", "top_size") * percent
 
@@ -193,23 +266,34 @@ def near_duplicates(
 
     current = shared.withColumn("component", F.col("leader"))
     tested = merged = None
-    for order in (F.col("leader"), F.xxhash64("leader", "bucket"), None):
+    orders = F.struct(-F.col("central"), "leader"), F.struct(F.xxhash64("leader", "bucket"), "leader")
+    for order in (*orders, None):
         if order is not None:
             pairs = against(current, order)
         else:
-            apart = current.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            open_ = current.join(apart.where("x <> y").select("bucket"), "bucket", "left_semi")
-            other = open_.toDF(*["bucket" if c == "bucket" else f"top_{c}" for c in open_.columns])
+            apart = current.groupBy("bucket").agg(
+                F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
+            ).where("x <> y").select("bucket", "members")
+            open_ = materialize(current.drop("central").join(apart, "bucket"))
+            few = open_.where(F.col("members") <= CROWDED).drop("members")
+            other = few.toDF(*["bucket" if c == "bucket" else f"top_{c}" for c in few.columns])
             pairs = (
-                open_.join(other, "bucket").where("leader < top_leader and component <> top_component").where(fits)
-                .select(F.col("leader").alias("a"), F.col("top_leader").alias("b")).distinct()
+                few.join(other, "bucket").where("leader < top_leader and component <> top_component").where(fits)
+                .select(F.col("leader").alias("a"), F.col("top_leader").alias("b"))
             )
+            pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        if pairs.isEmpty():
+        found = confirmed(docs, pairs, shingle, percent) if not pairs.isEmpty() else None
+        if order is None:
+            many = open_.where(F.col("members") > CROWDED).drop("members")
+            if not many.isEmpty():
+                links = crowded_links(docs, many, shingle, percent)
+                found = links if found is None else found.union(links)
+        if found is None:
             continue
-        found = materialize(confirmed(docs, pairs, shingle, percent))
+        found = materialize(found)
         tested = pairs if tested is None else tested.union(pairs)
         if merged is not None:  # what is known to be connected stays so
             found = found.union(merged.toDF("a", "b"))
