@@ -208,7 +208,7 @@ def _urls() -> str:
         FROM own JOIN merged USING (template)
     )
     SELECT page_id, host, path, rule,
-           coalesce(rule_verdict, CASE WHEN purity > {url_filter.REJECT_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
+           coalesce(rule_verdict, CASE WHEN host <> '' AND purity > {url_filter.REJECT_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
            template, round(purity, 9) AS purity
     FROM named JOIN scored USING (host, template)
     """

@@ -139,8 +139,8 @@ def battery(candidates: DataFrame) -> DataFrame:
     )
     letters = F.filter(F.split("alphabet", ""), lambda c: c != "")
     squares = F.aggregate(
-        F.transform(letters, lambda c: F.length("v") - F.length(F.replace(F.col("v"), c, F.lit("")))),
-        F.lit(0).cast("long"), lambda total, c: total + c * c,
+        F.transform(letters, lambda c: (F.length("v") - F.length(F.replace(F.col("v"), c, F.lit("")))).cast("double")),
+        F.lit(0.0), lambda total, c: total + c * c,
     )
     values = F.transform(
         F.filter(F.split("v", ""), lambda c: c != ""), lambda c: F.expr("0").cast("int") + F.instr(F.col("alphabet"), c)

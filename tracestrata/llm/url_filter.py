@@ -9,7 +9,8 @@ purity is the share of blocked URLs among those that a rule judges, smoothed
 towards its parents: host template <- merged template <- all labelled URLs. URLs that no rule
 judges are blocked where the smoothed purity exceeds `reject_above`.
 
-Defined results. Null URL or no "://": empty host and path, no rule, template "".
+Defined results. Null URL or no "://": empty host and path, no
+rule, template "", allowed.
 No labelled URL at all: every URL without a rule is allowed. Repeated rows count
 as often as they occur. An empty table gives an empty result.
 """
@@ -147,7 +148,7 @@ def judge(
     seen = materialize(templates(urls, rules, max_children))
     scores = purity(seen, prior, alike)
     verdict = F.coalesce(
-        F.col("rule_verdict"), F.when(F.col("purity") > reject_above, F.lit("block")), F.lit("allow")
+        F.col("rule_verdict"), F.when((F.col("host") != "") & (F.col("purity") > reject_above), F.lit("block")), F.lit("allow")
     )
     return seen.join(scores, ["host", "template"], "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template",
