@@ -185,3 +185,9 @@ def test_logs_without_times(rows):
     steps = L.successors(log, order=["event_seq"], carried=["activity"], chunk=F.floor(F.col("event_seq") / 2), hot_rows=1)
     flow = L.flow_table(steps, time=None)
     assert pairs(L.directly_follows(flow), "frequency", "mean_seconds") == {("a", "b"): (2, None)}
+
+
+def test_every_key_above_the_limit_is_found(spark):
+    """However well the rows compress and however many the keys are."""
+    rows = spark.range(3000 * 4).selectExpr("id % 3000 AS key")
+    assert len(skew.hot_keys(rows, ["key"], 4)) == 3000 and skew.hot_keys(rows, ["key"], 5) == []

@@ -205,3 +205,15 @@ def test_distribution(rows):
     assert T.strata_distribution(df.where("false")).isEmpty()
     with pytest.raises(ContractError):
         T.strata_distribution(df.drop("strato_id"))
+
+
+@pytest.mark.parametrize("cuts", [{}, {"Q1": 1.0}])
+def test_threshold_tables_are_checked(spark, cuts):
+    from tracestrata.functions import vocabulary as V
+    from tracestrata.operators import strata
+
+    table = spark.createDataFrame([(m, cuts) for m in V.METRICS], "metric string, thresholds map<string,double>")
+    measured = spark.createDataFrame([tuple(1.0 for _ in V.METRICS)], ", ".join(f"{m} double" for m in V.METRICS))
+    for given in (table, table.limit(0)):
+        with pytest.raises(Exception, match="thresholds"):
+            strata.classify(measured, given).collect()

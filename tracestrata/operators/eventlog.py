@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracestrata import contracts as C
 from tracestrata.functions import predicates as P
 from tracestrata.functions import scalars as S
+from tracestrata.errors import ContractError
 from tracestrata.operators import skew
 from tracestrata.settings import HOT_KEY_ROWS
 
@@ -115,6 +116,8 @@ def flow_table(
     directly-follows pair, plus one row with a null target per activity that
     ends cases. ``two_loop`` counts how often source, target, source follow.
     """
+    if statistic not in ("mean", "median"):
+        raise ContractError(f"unknown statistic {statistic}")
     target = F.col(f"next.{activity}")
     measures = [F.count("*").alias("frequency")]
     if time is None:

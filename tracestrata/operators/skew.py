@@ -12,43 +12,25 @@ from pyspark.sql import functions as F
 
 from tracestrata.settings import HOT_KEY_ROWS
 
-# Most keys ever reported, hence the proven size of everything broadcast here.
-MAX_HOT_KEYS = 1_000
-_TRACKED_KEYS = 10_000
-
 # A narrow table of this many rows is small enough to send to every executor.
 BROADCAST_ROWS = 1_000_000
 
 
-# Inputs with fewer estimated bytes per row of the limit need no splitting at all.
-_BYTES_PER_ROW = 8
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of everything the plan reads; no job is run."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def key_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*(F.col(c) for c in columns))
 
 
 def hot_keys(df: DataFrame, columns: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> list[int]:
-    """Hashes of the keys with about `min_rows` rows or more, the largest first.
+    """Hashes of all keys with at least `min_rows` rows, the largest first.
 
-    A mergeable heavy-hitter sketch: one scan of the key columns, no shuffle of
-    rows, and at most `MAX_HOT_KEYS` numbers come back to the driver. Fetching
-    them once keeps every later use of the set identical, even after a retry.
-    Inputs that as a whole are small enough for one task are not scanned.
+    Rows are counted exactly: partial counts are made where the rows are, and
+    only those are shuffled. At most rows / `min_rows` numbers come back to the
+    driver. Fetching them once keeps every later use of the set identical, even
+    after a retry.
     """
-    if estimated_bytes(df) < min_rows * _BYTES_PER_ROW:
-        return []
-    sketch = df.select(key_hash(columns).alias("key")).agg(
-        F.expr(f"approx_top_k(key, {MAX_HOT_KEYS}, {_TRACKED_KEYS})").alias("top")
-    )
-    found = sketch.select(F.explode("top").alias("t")).where(F.col("t.count") >= min_rows)
-    return [row["key"] for row in found.select(F.col("t.item").alias("key")).collect()]
+    counts = df.select(key_hash(columns).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n"), "key")
+    return [row["key"] for row in found.select("key").collect()]
 
 
 def split(df: DataFrame, columns: Sequence[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:

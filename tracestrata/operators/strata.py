@@ -45,9 +45,13 @@ def classify(
     columns = metrics.columns
     if isinstance(thresholds, DataFrame):
         ascending = F.array_sort(F.map_values("thresholds"))
+        complete = F.lit(True)
+        for m in names:
+            complete &= F.coalesce(F.size(F.try_element_at("cuts", F.lit(m))) == count, F.lit(False))
+        fault = F.raise_error(F.lit(f"every metric needs {count} thresholds"))
         packed = thresholds.agg(
-            F.map_from_entries(F.collect_list(F.struct("metric", ascending)))
-        )
+            F.map_from_entries(F.collect_list(F.struct("metric", ascending))).alias("cuts")
+        ).select(F.when(complete, F.col("cuts")).otherwise(fault.cast("map<string,array<double>>")))
         metrics = metrics.withColumn("_cuts", packed.scalar())
         cuts = {
             m: [F.get(F.try_element_at("_cuts", F.lit(m)), F.lit(i)) for i in range(count)]

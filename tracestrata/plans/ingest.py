@@ -53,12 +53,16 @@ def plan_hours(
     """(hour, outcome, paths): what to do with each requested hour.
 
     The outcome is already known for hours to skip and for hours without a
-    landed file; it is null for hours to read.
+    landed file; it is null for hours to read. A settled hour is read again,
+    from all its files, if one of them landed after it was recorded.
     """
-    settled = state.select("hour", "status")
-    files = landed.groupBy("hour").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    settled = state.select("hour", "status", "updated_at")
+    files = landed.groupBy("hour").agg(
+        F.array_sort(F.collect_list("path")).alias("paths"), F.max("landed_at").alias("landed_at")
+    )
     joined = requested.join(settled, "hour", "left").join(files, "hour", "left")
-    skip = F.lit(not force)
+    news = F.coalesce(F.col("landed_at") > F.col("updated_at"), F.lit(False))
+    skip = F.lit(not force) & ~news
     outcome = (
         F.when(skip & (F.col("status") == V.PROCESSED), V.SKIPPED_PROCESSED)
         .when(skip & (F.col("status") == V.NOT_FOUND), V.SKIPPED_404)

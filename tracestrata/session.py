@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracestrata.errors import ContractError
+
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -41,6 +43,8 @@ def _shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"tracestrata-{uuid.uuid4().hex}")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -15,7 +15,7 @@ _SEQ_BITS = 33
 
 
 def list_hours(spark: SparkSession, landing: str) -> DataFrame:
-    """(hour, path, length) of every landed file that carries an hour stamp.
+    """(hour, path, length, landed_at) of every landed file with a valid hour stamp.
 
     Only file metadata is read.
     """
@@ -23,9 +23,14 @@ def list_hours(spark: SparkSession, landing: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(landing)
-        .select(S.hour_of_path(F.col("path")).alias("hour"), "path", "length")
+        .select(
+            S.hour_of_path(F.col("path")).alias("hour"),
+            "path",
+            "length",
+            F.col("modificationTime").alias("landed_at"),
+        )
     )
-    return files.where(F.col("hour") != "")
+    return files.where(S.hour_time(F.col("hour")).isNotNull())
 
 
 def scan_archive(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -57,9 +62,9 @@ def stream_archive(
 
 
 def with_hour(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("hour", S.hour_of_path(F.col("_metadata.file_path"))).where(
-        F.col(CORRUPT).isNull()
-    )
+    """Adds the hour of the file; rows of files without a valid stamp are left out."""
+    stamped = raw.withColumn("hour", S.hour_of_path(F.col("_metadata.file_path")))
+    return stamped.where(F.col(CORRUPT).isNull() & S.hour_time(F.col("hour")).isNotNull())
 
 
 def flag_and_flatten(raw: DataFrame) -> DataFrame:

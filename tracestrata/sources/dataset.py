@@ -43,7 +43,9 @@ def _conform(stored: DataFrame) -> DataFrame:
         if name in present:
             return F.col(name).cast(kind)
         if name == "event_seq":
-            return F.col("_metadata.row_index").cast(kind)
+            # The file comes first: row numbers alone repeat from file to file.
+            file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 29))
+            return F.shiftleft(file, 33).bitwiseOR(F.col("_metadata.row_index")).cast(kind)
         return F.lit(None).cast(kind)
 
     columns = [column(f.name, f.dataType).alias(f.name) for f in EVENT.fields]

@@ -56,8 +56,14 @@ def read_stratified(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_group(df: DataFrame, path: str, by: str = "archetype") -> None:
-    """Parquet with one folder per group; other groups' folders stay."""
-    dataset.overwrite_partitions(df, path, (by,))
+    """Parquet with one folder per group; what another run left there is replaced as a whole."""
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .option("compression", "zstd")
+        .partitionBy(by)
+        .parquet(path)
+    )
 
 
 def write_matrices(matrix: DataFrame, path: str, by: str = "archetype") -> None:

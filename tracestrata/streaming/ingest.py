@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracestrata.plans.ingest import write_hours
@@ -19,15 +20,20 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Process every file that landed since the last run, then stop.
 
-    Batches go through the same distillation and the same whole-hour overwrite
-    as the batch job, so replaying a batch after a failure changes nothing.
-    The archive lands one file per hour, which keeps an hour within one batch;
-    for a landing zone with several files per hour leave `files_per_trigger`
-    unset, so that all of them arrive together.
+    A batch only tells which hours have news: each of them is read again from
+    all its landed files and overwritten as a whole. So files of an hour may
+    arrive in any order and in any batches, and replaying a batch after a
+    failure changes nothing.
     """
 
     def commit(batch: DataFrame, _: int) -> None:
-        write_hours(archive.flag_and_flatten(batch), store)
+        hours = [row["hour"] for row in batch.select("hour").distinct().collect()]
+        if not hours:
+            return
+        session = batch.sparkSession
+        landed = archive.list_hours(session, landing).where(F.col("hour").isin(hours))
+        paths = sorted(row["path"] for row in landed.select("path").collect())
+        write_hours(archive.flag_and_flatten(archive.scan_archive(session, paths)), store, hours)
 
     return (
         archive.stream_archive(spark, landing, files_per_trigger)
