@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracestrata import materialize
+from tracestrata.llm.joins import tasks_for
 
 _SUM = "decimal(38,0)"
 
@@ -21,7 +22,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds until no link changes; then
     every node links to the smallest of its component. Rows never leave the
-    executors but for a count and a checksum per round.
+    executors but for a count and a checksum per round. Each step goes on in as
+    many partitions as the counted links are worth (a round at most doubles them).
     """
     links = materialize(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -29,21 +31,26 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = _state(links)
     for _ in range(max_rounds if before[0] else 0):
+        tasks = tasks_for(2 * before[0])
+        links = links.coalesce(tasks)
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Larger neighbours of each node link to its smallest neighbour or itself.
         large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .coalesce(tasks).distinct().coalesce(tasks)
         )
         # Smaller neighbours of each node, and the node, link to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialize(
-            small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+            small.union(low.select("a", F.col("m").alias("b"))).where("a <> b")
+            .coalesce(tasks).distinct().coalesce(tasks)
         )
         after = _state(links)
         if after == before:
             break
         before = after
+    links = links.coalesce(tasks_for(before[0]))
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(links.select("b", "b")).distinct()

@@ -1,4 +1,4 @@
-"""Joins with a table whose size is checked first."""
+"""Joins and shuffles of tables whose size is counted first."""
 
 from __future__ import annotations
 
@@ -15,3 +15,23 @@ def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Give it a stored table of narrow rows: it is read once to be counted.
     """
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+# A counted table goes on in partitions of about so many narrow rows, in FEWEST of them at least.
+TASK_ROWS = 50_000
+FEWEST = 4
+
+
+def tasks_for(rows: int) -> int:
+    """How many partitions a table of so many narrow rows is worth."""
+    return max(FEWEST, -(-rows // TASK_ROWS))
+
+
+def compact(table: DataFrame) -> DataFrame:
+    """A stored table in as many partitions as its count is worth, so that a small one
+    does not make every later shuffle write a file for each of hundreds of empty parts.
+
+    Partitions are put together where they lie; nothing is shuffled, and a large table
+    stays as it is.
+    """
+    return table.coalesce(tasks_for(table.count()))

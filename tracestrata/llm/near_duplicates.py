@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from tracestrata import materialize
 from tracestrata.llm.components import components
-from tracestrata.llm.joins import sized
+from tracestrata.llm.joins import compact, sized
 from tracestrata.llm.text import Words, mix, seeds, slices
 
 SHINGLE = 5
@@ -135,9 +135,9 @@ def sketched(docs: DataFrame, shingle: int, t: int, rows: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = materialize(
-        docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        docs.select("doc_id", "text").join(sized(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     )
     rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text"), "a")
 
@@ -248,7 +248,7 @@ def near_duplicates(
     # The text that copies were made from shares more buckets with them than they
     # do with each other: held against it, most of them are linked at once.
     central = crowded.groupBy("leader").agg(F.sum("members").alias("central"))
-    shared = materialize(crowded.join(central, "leader").select("bucket", "leader", "size", "central"))
+    shared = compact(materialize(crowded.join(central, "leader").select("bucket", "leader", "size", "central")))
     # Sets whose sizes differ by more than the similarity allows are no candidates.
     fits = F.least("size", "top_size") * 100 >= F.greatest("size", "top_size") * percent
 
@@ -274,7 +274,7 @@ def near_duplicates(
             apart = current.groupBy("bucket").agg(
                 F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
             ).where("x <> y").select("bucket", "members")
-            open_ = materialize(current.drop("central").join(apart, "bucket"))
+            open_ = compact(materialize(current.drop("central").join(apart, "bucket")))
             few = open_.where(F.col("members") <= CROWDED).drop("members")
             other = few.toDF(*["bucket" if c == "bucket" else f"top_{c}" for c in few.columns])
             pairs = (
@@ -284,7 +284,7 @@ def near_duplicates(
             pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = compact(materialize(pairs))
         found = confirmed(docs, pairs, shingle, percent) if not pairs.isEmpty() else None
         if order is None:
             many = open_.where(F.col("members") > CROWDED).drop("members")
@@ -293,13 +293,14 @@ def near_duplicates(
                 found = links if found is None else found.union(links)
         if found is None:
             continue
-        found = materialize(found)
+        found = compact(materialize(found))
         tested = pairs if tested is None else tested.union(pairs)
         if merged is not None:  # what is known to be connected stays so
             found = found.union(merged.toDF("a", "b"))
-        merged = materialize(components(found).toDF("leader", "component"))
-        current = materialize(
-            shared.join(merged, "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+        merged = compact(materialize(components(found).toDF("leader", "component")))
+        # One narrow row per linked text is stored; the rows of all buckets are joined to it where they are.
+        current = shared.join(sized(merged), "leader", "left").withColumn(
+            "component", F.coalesce("component", "leader")
         )
 
     ends = classes.select(*key, "leader")
