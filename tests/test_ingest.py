@@ -336,3 +336,11 @@ def test_a_late_file_is_planned_again(spark, place):
     os.utime(f"{landing}/b/2024-01-01-10.json.gz", (late, late))
     assert outcomes(ingest.ingest_hours(spark, landing, store, asked))["2024-01-01-10"] == ("SUCCESS", 3, 3, 0)
     assert hourly(spark, store).count() == 3
+
+
+def test_records_of_one_instant(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("2024-01-01-1", at.date(), status, n, n, 0, at) for status, n in (("processed", 5), ("not_found", 0), ("processed", 8))]
+    for given in (rows, rows[::-1]):
+        state = ledger.current(spark.createDataFrame(given, ledger.LEDGER)).collect()
+        assert [(r["status"], r["total"]) for r in state] == [("processed", 8)]

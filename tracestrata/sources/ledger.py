@@ -24,9 +24,10 @@ def read_records(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def current(records: DataFrame) -> DataFrame:
-    """Latest record of each hour."""
+    """Latest record of each hour; of records of one instant, a processed one with the most rows."""
     fields = [name for name in LEDGER.names if name != "hour"]
-    latest = F.max_by(F.struct(*fields), "updated_at").alias("latest")
+    rank = F.struct("updated_at", F.col("status") == V.PROCESSED, "total", "distilled", "bad")
+    latest = F.max_by(F.struct(*fields), rank).alias("latest")
     return records.groupBy("hour").agg(latest).select("hour", "latest.*")
 
 
