@@ -252,16 +252,17 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 def _stems(training: DataFrame) -> dict[str, float]:
     """Stems (and whole words, marked by a length of their own) that toxic documents use, with log-odds."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{4,})")))
-    rows = training.select("toxic", found.alias("words"))
-    # Copies of a text mostly share their smallest word hash and count as one document.
+    # Copies of a text mostly share their smallest word hash and count as one document. It is
+    # made below the explode, which would otherwise repeat it for every word of the text.
     kind = F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("kind")
-    words = rows.select("toxic", kind, F.explode("words").alias("word"))
+    rows = training.select("toxic", found.alias("words")).select("toxic", "words", kind)
+    words = rows.select("toxic", "kind", F.explode("words").alias("word"))
     forms = F.array(*[F.substring("word", 1, n) for n in STEM_SIZES])
     stems = (
         words.select("kind", "toxic", F.explode(F.array_distinct(forms)).alias("stem"))
         .where(F.length("stem") >= min(STEM_SIZES)).distinct()
     )
-    kinds = rows.select("toxic", kind).distinct().groupBy("toxic").agg(F.count("*").alias("n"))
+    kinds = rows.select("toxic", "kind").distinct().groupBy("toxic").agg(F.count("*").alias("n"))
     sizes = {r["toxic"]: r["n"] for r in kinds.collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
