@@ -129,6 +129,17 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_tree_goes_down_the_whole_path(spark):
+    urls = [f"http://a.org/shop/en/{k}/{w}" for k in ("casino", "help") for w in ("x", "y")]
+    urls += [f"http://b.org/user/{chr(97 + i // 26)}{chr(97 + i % 26)}/posts/{w}" for i in range(40) for w in ("old", "new")]
+    urls += [f"http://c.org/p/q/r/{chr(97 + i // 26)}{chr(97 + i % 26)}/end" for i in range(40)] + ["http://c.org/p/q/r"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["path"]: r["template"] for r in url_filter.templates(pages).collect()}
+    assert got["/shop/en/casino/x"] == "shop/en/casino/x" and got["/shop/en/help/x"] == "shop/en/help/x"
+    assert {t for p, t in got.items() if p.startswith("/user/")} == {"user/*/posts/old", "user/*/posts/new"}
+    assert {t for p, t in got.items() if p.startswith("/p/q/r/")} == {"p/q/r/*/end"} and got["/p/q/r"] == "p/q/r"
+
+
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>"</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Title &amp; more</h1><p>First  part<br>goes on.<p><b>Second</b> &lt;one&gt; is longer, and ends here.
 <aside>Read also this</aside><div class=comments><p>Nice post!</div></article><footer>&copy; 2020</footer>"""

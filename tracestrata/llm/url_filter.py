@@ -2,9 +2,9 @@
 
 Method. Each URL is a host and path segments. Per host, variable segments are
 generalised into wildcards: numbers and long mixed identifiers at once, other
-segments where a branch has more different children than `max_children`.
-Branches whose child counts are statistically alike (the same template after
-merging) are pooled across hosts under one merged branch. A template's labelled
+segments, at every level of the path, where a branch has more different children
+than `max_children`. Branches with the same template after that are pooled across
+hosts under one merged branch, if their shares of blocked URLs are statistically alike. A template's labelled
 purity is the share of blocked URLs among those that a rule judges, smoothed
 towards its parents: host template <- merged template <- all labelled URLs. URLs that no rule
 judges are blocked where the smoothed purity exceeds `reject_above`.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracestrata import materialize
+from tracestrata.llm.joins import sized
 from tracestrata.llm.text import lower_ascii
 
 # (verdict, host, path) as the contract states them.
@@ -75,36 +76,67 @@ def generalised(path: Column) -> Column:
 def templates(
     urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_children: int = MAX_CHILDREN
 ) -> DataFrame:
-    """page_id, host, path, rule, rule_verdict, template of each URL.
-
-    The first segment keeps its text unless its host has more than
-    `max_children` different ones; then it is a wildcard too. Deeper fixed
-    segments are wildcards beyond the second level.
-    """
+    """page_id, host, path, rule, rule_verdict, template of each URL."""
     parsed = urls.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    # A segment holds no "/", so the joined text stands for the list.
     seen = materialize(
         parsed.select(
             "page_id", "host", "path", F.col("fit.rule").alias("rule"),
-            F.col("fit.verdict").alias("rule_verdict"), generalised(F.col("path")).alias("parts"),
+            F.col("fit.verdict").alias("rule_verdict"), F.array_join(generalised(F.col("path")), "/").alias("whole"),
         )
     )
-    first = F.coalesce(F.get("parts", F.lit(0)), F.lit(""))
-    # Distinct (host, first segment) pairs are aggregated before they are counted
-    # per host: a host with a third of all rows costs no more than its branches.
-    wide = (
-        seen.select("host", first.alias("first")).distinct()
-        .groupBy("host").agg(F.count("*").alias("children"))
-        .where(F.col("children") > max_children).select(F.col("host").alias("wide_host"))
+    merged = path_tree(seen.select("host", "whole").distinct(), max_children)
+    return seen.join(sized(merged), ["host", "whole"], "left").select(
+        "page_id", "host", "path", "rule", "rule_verdict", F.coalesce("template", "whole").alias("template")
     )
-    joined = seen.join(wide, F.col("host") == F.col("wide_host"), "left")
-    head = F.when(F.col("wide_host").isNotNull() & (first != ""), F.lit("*")).otherwise(first)
-    rest = F.transform(
-        F.slice("parts", 2, 1 << 30), lambda s, i: F.when(i < 1, s).otherwise(F.lit("*"))
+
+
+def path_tree(paths: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """host, whole, template of the distinct paths (host, whole) whose template differs from them; stored.
+
+    Level by level, a branch (host and template so far) with more than
+    `max_children` different children, its own end included, has one wildcard
+    instead of them; the next level counts what is below that wildcard together.
+    Only paths of branches with more than `max_children` paths go on to the next
+    level, since no other branch can be wide, there or below.
+    """
+    live = materialize(
+        paths.select("host", "whole", F.filter(F.split("whole", "/"), lambda s: s != "").alias("parts"), F.lit("").alias("prefix"))
     )
-    template = F.array_join(F.concat(F.array(head), rest), "/")
-    return joined.select("page_id", "host", "path", "rule", "rule_verdict", template.alias("template"))
+    ended, level = [], 0
+    while True:
+        child = F.coalesce(F.get("parts", F.lit(level)), F.lit(""))
+        # Children are aggregated before they are counted per branch: a host with a
+        # third of all rows costs no more than its branches.
+        branches = materialize(
+            live.groupBy("host", "prefix", child.alias("child")).agg(F.count("*").alias("n"))
+            .groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("n").alias("n"))
+            .where(F.col("n") > max_children).select("host", "prefix", (F.col("children") > max_children).alias("wide"))
+        )
+        if branches.isEmpty():
+            break
+        named = F.concat("prefix", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(child))
+        stepped = materialize(
+            live.join(sized(branches), ["host", "prefix"], "left").select(
+                "host", "whole", "parts", F.when(F.col("wide").isNull() | (child == ""), F.col("prefix")).otherwise(named).alias("prefix"),
+                (F.col("wide").isNotNull() & (child != "")).alias("on"),
+            )
+        )
+        ended.append(_ended(stepped.where("not on"), level))
+        live, level = stepped.where("on"), level + 1
+    found = _ended(live, level)
+    for rows in ended:
+        found = found.unionAll(rows)
+    return materialize(found.where("template <> whole"))
+
+
+def _ended(rows: DataFrame, level: int) -> DataFrame:
+    """host, whole, template of paths whose segments from `level` on stay."""
+    rest = F.slice("parts", level + 1, 1 << 30)
+    template = F.concat("prefix", F.when(F.size(rest) > 0, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(""))
+    return rows.select("host", "whole", F.substr(template, F.lit(2)).alias("template"))
 
 
 def purity(judged: DataFrame, prior: float = PRIOR, alike: float = ALIKE) -> DataFrame:
