@@ -75,6 +75,17 @@ def test_secrets(docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_behind_names_and_in_paths(spark):
+    value = "24be64439e3e49cf46b2d7c9"
+    mixed = "q7Rk2LxV9bTz0WmYc4HsPd8N"
+    texts = [f"sid={value}", f"https://a.org/path/{value}/end?x=1", f"sid={value.upper()}&b=2", f"key-{mixed}", f"live_{mixed} x",
+             f"a={mixed}==", value]
+    spark_docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in secrets.find_secrets(spark_docs).collect()}
+    # The whole of 3 and 4 looks random too; the longest span is kept.
+    assert got == {0: [value], 1: [value], 2: [value.upper()], 3: [texts[3]], 4: [texts[4][:-2]], 5: [mixed + "=="], 6: [value]}
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] == 2) == 1

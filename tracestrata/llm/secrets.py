@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Method. Long runs of identifier characters are candidates. The encoding is
-inferred as the smallest alphabet that holds all characters. A candidate must
+Method. Long runs of identifier characters are candidates, and so are their long
+parts between '/', '-', '_' and '+'; '=' ends a run unless it is closing padding.
+The encoding is inferred as the smallest alphabet that holds all characters. A candidate must
 look random: chi-squared uniformity over the alphabet, runs above and below the
 alphabet's middle, and serial correlation of neighbours must not reject
 randomness at `alpha`. And it must not look like ordinary text: under text the
@@ -33,7 +34,20 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+_PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+" + _PADDING
+
+
+def _part(letters: str, cuts: str) -> str:
+    """Stretches of `letters` with one of `cuts` before or behind them."""
+    run = f"[{letters}]{{20,}}+"
+    return rf"(?<![{letters}])(?:(?<=[{cuts}]){run}{_PADDING}|{run}(?=[{cuts}]))"
+
+
+# Parts of a candidate: of a path, of a compound name, and between all of these signs.
+PARTS = (
+    _part(r"A-Za-z0-9+_-", "/"), _part("A-Za-z0-9+/", "_-"), _part("A-Za-z0-9+", "/_-"), _part("A-Za-z0-9", "+/_-"),
+)
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 ALPHA = 0.001
@@ -79,7 +93,7 @@ def _occurrences(text: Column, pattern: str, kind: str, keep) -> Column:
             lambda x: F.struct(
                 F.lit(kind).alias("kind"), x["i"].cast("int").alias("i"),
                 F.length(F.get(gaps, x["i"])).alias("gap"), F.length(x["m"]).alias("size"),
-                F.when(F.lit(kind == "random"), x["m"]).alias("value"), keep(x["m"]).alias("keep"),
+                F.when(F.lit(kind.startswith("random")), x["m"]).alias("value"), keep(x["m"]).alias("keep"),
             ),
         )
 
@@ -96,6 +110,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         _occurrences(text, ACCESS, "access", lambda m: F.length(m) >= LEAST_ACCESS),
         _occurrences(text, HEX, "hex", always),
         _occurrences(text, CANDIDATE, "random", always),
+        *[_occurrences(text, p, f"random{i}", always) for i, p in enumerate(PARTS)],
     )
     # Stored at once, so the row numbers stay what they are.
     return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")))
@@ -106,7 +121,8 @@ def located(found: DataFrame) -> DataFrame:
     rows = found.where(F.size("found") > 0).select("row", F.inline("found"))
     order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("size")).over(order)
-    return rows.select("row", "kind", "size", "value", "keep", stop.alias("stop")).where("keep").select(
+    kind = F.regexp_replace("kind", "[0-9]+$", "").alias("kind")
+    return rows.select("row", kind, "size", "value", "keep", stop.alias("stop")).where("keep").select(
         "row", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "value"
     )
 
@@ -226,14 +242,16 @@ def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> D
     lists = base.union(drawn).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "stop", "kind"))).alias("spans")
     )
+    drawn_spans = F.array_distinct(F.filter("spans", lambda s: s["kind"] == "random"))
     fixed = F.filter("spans", lambda s: s["kind"] != "random")
-    # A random span is new only where no pattern has found anything.
-    new = F.filter(
-        "spans",
-        lambda s: (s["kind"] != "random")
-        | ~F.exists(fixed, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
-    listed = lists.select("row", new.alias("spans"))
+    # A random span is new only where no pattern has found anything, and the longest of those that hold each other.
+    apart = F.filter(drawn_spans, lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+
+    def longest(found: Column) -> Column:
+        within = lambda s, b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]) & (b != s)
+        return F.filter(found, lambda s: ~F.exists(found, lambda b: within(s, b)))
+
+    listed = lists.select("row", F.sort_array(F.concat(fixed, let(apart, longest))).alias("spans"))
     none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")
     shaped = F.transform(
         "spans",
