@@ -163,3 +163,14 @@ def test_pages(spark):
     text = "Title & more\n\nFirst part goes on.\n\nSecond <one> is longer, and ends here."
     assert got[0] == got[1] == (1, text, len(text)) and got[2] == (2, "", 0) and got[3] == (3, "", 0)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_head_without_an_end():
+    def texts(page):
+        return [b.text for b in html_text.blocks(page)]
+
+    assert texts("<html><head><title>T</title><body><p>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<head><meta charset=x><title>T<body><p>One.") == ["One."]
+    assert texts("<head><title>A <b>b</b></title><style>p {}</style><link href=x><div>One.</div>") == ["One."]
+    assert texts("<head><title>T</title> One <b>two</b>.<p>Three.") == ["One two.", "Three."]
+    assert texts("<head><title>T</title></head><body>One.</body>") == ["One."]

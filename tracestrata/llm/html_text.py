@@ -49,6 +49,8 @@ IMPLIED = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
+# What can stand in a head; anything else closes it.
+HEAD_ONLY = ("base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title")
 MAIN = ("article", "main")
 BOILERPLATE = ("nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "legend")
 # Parts of class, id and role that name boilerplate or main text.
@@ -69,6 +71,8 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_TITLE_END = re.compile(r"<(/title|/head|body)[\s/>]", re.I)
+_HEAD = frozenset(HEAD_ONLY)
 _VOID, _BLOCK, _SKIPPED = frozenset(VOID), frozenset(BLOCKS), frozenset(SKIPPED)
 _BAD, _GOOD, _BOILER = frozenset(BAD_NAMES), frozenset(GOOD_NAMES), frozenset(BOILERPLATE)
 
@@ -99,6 +103,10 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, frozenset(tags), names, min(1.0, linked / len(text))))
         parts, linked = [], 0
 
+    def leave_head():
+        flush()
+        del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]
+
     at, end = 0, len(page)
     while at < end:
         if skipping:  # its content is no markup
@@ -112,6 +120,8 @@ def blocks(page: str) -> list[Block]:
         at = token.end()
         closing, tag, attributes, closing2, tag2, attributes2, text = token.groups()
         if text is not None:
+            if stack and stack[-1][0] == "head" and text.strip():
+                leave_head()
             parts.append(text)
             if any(t == "a" for t, _ in stack):
                 linked += len(text.strip())
@@ -128,6 +138,11 @@ def blocks(page: str) -> list[Block]:
                 while stack.pop()[0] != tag:
                     pass
         else:
+            if tag not in _HEAD and any(t == "head" for t, _ in stack):
+                leave_head()
+            if stack and stack[-1][0] == "title":  # never closed
+                flush()
+                stack.pop()
             if tag in _BLOCK:
                 flush()
                 while stack and tag in IMPLIED.get(stack[-1][0], ()):
@@ -140,6 +155,8 @@ def blocks(page: str) -> list[Block]:
             if tag in _SKIPPED and tag != "head":
                 if not attributes.rstrip().endswith("/"):
                     skipping = tag
+            elif tag == "title" and (found := _TITLE_END.search(page, at)) and found[1].lower() == "/title":
+                skipping = tag
             elif tag not in _VOID and not attributes.rstrip().endswith("/"):
                 words = {
                     w for groups in _NAMES.findall(attributes) for value in groups for w in _PART.findall(value.lower())
