@@ -174,3 +174,10 @@ def test_head_without_an_end():
     assert texts("<head><title>A <b>b</b></title><style>p {}</style><link href=x><div>One.</div>") == ["One."]
     assert texts("<head><title>T</title> One <b>two</b>.<p>Three.") == ["One two.", "Three."]
     assert texts("<head><title>T</title></head><body>One.</body>") == ["One."]
+
+
+def test_capital_letters_beyond_ascii():
+    matcher = toxicity.Matcher({"crétin": 1.0, "estúpido": 1.0, "ärger": 1.0, "idiot": 1.0}, {})
+    for text in ("CRÉTIN va.", "Quel CrÉtin.", "Ärger hier.", "ÄRGER", "¡Estúpido!", "«idiot» dit", "Ce n'est rien. “Idiot” ici."):
+        assert matcher.features(text)[4] == 1, text
+    assert matcher.features("Rien ici. Décrétine aussi.")[4] == 0

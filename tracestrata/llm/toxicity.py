@@ -172,14 +172,14 @@ class Matcher:
         return None
 
     def clauses(self, data: bytes) -> list[str]:
-        """The clauses of a text in which a word begins like a stem."""
-        raw = np.frombuffer(data, np.uint8)
-        if len(raw) < 4:
+        """The clauses of a lower-case text in which a word may begin like a stem."""
+        low = np.frombuffer(data, np.uint8)
+        if len(low) < 4:
             return []
-        low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-        letter = ((low >= 97) & (low <= 122)) | (low >= 128)
-        begin = letter[:-3].copy()
-        begin[1:] &= ~letter[:-4]
+        ascii_letter = (low >= 97) & (low <= 122)
+        # Behind a letter or sign beyond ASCII a word may begin; the grammar tells.
+        begin = (ascii_letter | (low >= 192))[:-3]
+        begin[1:] &= ~ascii_letter[:-4]
         at = np.flatnonzero(begin)
         heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(low, 4)[at]).view("<u4").ravel()
         place = np.searchsorted(self.heads, heads)
@@ -188,7 +188,7 @@ class Matcher:
         out, last = [], -1
         if not len(hits):
             return out
-        ends = np.flatnonzero(np.isin(raw, list(_CLAUSE_ENDS)))
+        ends = np.flatnonzero(np.isin(low, list(_CLAUSE_ENDS)))
         for hit in hits.tolist():
             if hit < last:
                 continue
@@ -201,8 +201,8 @@ class Matcher:
     def features(self, text: str) -> np.ndarray:
         """[sum of each output, clauses with a hit, heaviest clause]."""
         sums, matched, most = dict.fromkeys(FEATURES, 0.0), 0, 0.0
-        for clause in self.clauses(text.encode()):
-            words = _WORD.findall(clause.lower())
+        for clause in self.clauses(text.lower().encode()):
+            words = _WORD.findall(clause)
             found = [self.lookup(w) for w in words]
             if not any(found):
                 continue
