@@ -37,16 +37,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; every secret in a text is replaced by a mark."""
-    spans = "_spans"
-    while spans in docs.columns:
-        spans = "_" + spans
-    found = secrets.find_secrets(docs).where("doc_id is not null and size(spans) > 0").dropDuplicates(["doc_id"])
-    joined = docs.join(sized(materialize(found.withColumnRenamed("spans", spans))), "doc_id", "left")
-    text = secrets.redact(F.col("text"), F.col(spans))
-    columns = {"text": text}
+    spans, key = "_spans", "_key"
+    while spans in docs.columns or key in docs.columns:
+        spans, key = "_" + spans, "_" + key
+    # Spans follow from the text alone, so each row is masked by those of its own text, with or without an id.
+    keyed = docs.withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
+    found = secrets.find_secrets(keyed, key=key).where("size(spans) > 0").dropDuplicates([key])
+    joined = keyed.join(sized(materialize(found.withColumnRenamed("spans", spans))), key, "left")
+    # A column of its own first: beside a new `text`, a length of the old one would be taken from the new one.
+    masked = joined.withColumn(key, secrets.redact(F.col("text"), F.col(spans)))
+    columns = {"text": F.col(key)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(key).cast("long"))
+    return masked.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

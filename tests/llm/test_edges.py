@@ -86,6 +86,18 @@ def test_secrets_behind_names_and_in_paths(spark):
     assert got == {0: [value], 1: [value], 2: [value.upper()], 3: [texts[3]], 4: [texts[4][:-2]], 5: [mixed + "=="], 6: [value]}
 
 
+def test_every_row_is_masked_by_its_own_spans(spark):
+    import corpus_pipeline
+
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [(1, f"one {key} end"), (1, f"a longer beginning {key}"), (1, "nothing to hide in this text at all, nothing whatever"),
+             (None, f"without id {key}"), (None, "clean"), (2, None)]
+    rows = spark.createDataFrame([(i, t, t and len(t)) for i, t in texts], "doc_id long, text string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.redact_secrets(spark, rows, "").collect()]
+    masked = [(i, t and t.replace(key, "[SECRET]")) for i, t in texts]
+    assert sorted(got, key=str) == sorted(((i, t, t and len(t)) for i, t in masked), key=str)
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] == 2) == 1

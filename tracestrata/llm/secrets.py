@@ -100,8 +100,8 @@ def _occurrences(text: Column, pattern: str, kind: str, keep) -> Column:
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), rows)).otherwise(empty)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """row, doc_id, found (all matches of all patterns) of every document; stored."""
+def occurrences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """row, `key`, found (all matches of all patterns) of every document; stored."""
     text = F.coalesce("text", F.lit(""))
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN
     always = lambda m: F.lit(True)
@@ -113,7 +113,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         *[_occurrences(text, p, f"random{i}", always) for i, p in enumerate(PARTS)],
     )
     # Stored at once, so the row numbers stay what they are.
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found")))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), key, found.alias("found")))
 
 
 def located(found: DataFrame) -> DataFrame:
@@ -230,9 +230,9 @@ def discovered(tested: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> D
     return binned.join(F.broadcast(cut), group).where(F.col("bin") <= F.col("cut")).where(random).select("value")
 
 
-def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> DataFrame:
-    """doc_id, spans (array of kind, start, stop by start and kind) of every row of `docs` (doc_id, text)."""
-    found = occurrences(docs.select("doc_id", "text"))
+def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE, key: str = "doc_id") -> DataFrame:
+    """`key`, spans (array of kind, start, stop by start and kind) of every row of `docs` (`key`, text)."""
+    found = occurrences(docs.select(key, "text"), key)
     spans = materialize(located(found))
     tested = materialize(battery(spans.where("kind = 'random'").select("value").distinct()))
     random = materialize(discovered(tested, alpha, rate))
@@ -257,8 +257,8 @@ def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> D
         "spans",
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop")),
     )
-    return found.select("row", "doc_id").join(listed, "row", "left").select(
-        "doc_id", F.coalesce(shaped, none).alias("spans")
+    return found.select("row", key).join(listed, "row", "left").select(
+        key, F.coalesce(shaped, none).alias("spans")
     )
 
 
