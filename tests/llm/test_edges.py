@@ -125,6 +125,18 @@ def test_proximity(spark, docs):
     assert {d for d, _ in found} == {1}
 
 
+def test_near_passages(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    inserted = passage.replace("epsilon", "very epsilon")
+    swapped = passage.replace("beta gamma", "gamma beta")
+    far = passage.replace("alpha ", "") + " a b c alpha"
+    texts = [f"x {passage} y", f"x {inserted} y", f"{swapped} y", far, "alpha beta gamma", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = items_of(spark, [(7, passage, 1)])
+    got = by_id(decontaminate.decontaminate(docs, items, slack=decontaminate.SLACK), "n_hit", "contaminated", "n_near", "near_items")
+    assert got == [(0, 10, True, 1, ["7"]), (1, 0, False, 1, ["7"]), (2, 0, False, 1, ["7"]), *[(i, 0, False, 0, []) for i in (3, 4, 5)]]
+
+
 @pytest.mark.parametrize("hot", [250_000, 1])
 def test_repeats(docs, none, hot):
     got = by_id(substring_dedup.remove_repeats(docs, hot=hot), "n_words", "n_removed")

@@ -32,6 +32,8 @@ from tracestrata.llm.text import lower_ascii, words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 RAREST = 2
+# A word put in shifts the words behind it by one; two swapped neighbours are two places apart.
+SLACK = 2
 END = ""  # the term of the end posting
 
 
@@ -80,9 +82,11 @@ def ranked_terms(index: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame, rarest: int = RAREST) -> DataFrame:
+def phrase_matches(
+    index: DataFrame, windows: DataFrame, rarest: int = RAREST, ranked: DataFrame | None = None
+) -> DataFrame:
     """doc_id, start, n, window of every exact occurrence; stored."""
-    ranked = ranked_terms(index, windows)
+    ranked = ranked_terms(index, windows) if ranked is None else ranked
     known = index.where("doc_id is not null")
     # Lists of the rarest terms, moved back by their offsets: equal starts intersect.
     probes = ranked.where(F.col("rank") <= rarest)
@@ -109,16 +113,17 @@ def phrase_matches(index: DataFrame, windows: DataFrame, rarest: int = RAREST) -
     )
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, slack: int) -> DataFrame:
+def proximity_matches(index: DataFrame, windows: DataFrame, slack: int, ranked: DataFrame | None = None) -> DataFrame:
     """doc_id, start, window where every term is within `slack` words of its place.
 
-    The start is where the window's rarest term puts it. The other terms' lists
-    are cut into stretches as long as the slack allows, so each is compared with
-    its own and the neighbouring stretches only.
+    The start is where the window's rarest term puts it. The lists of the two
+    rarest terms are cut into stretches as long as the slack allows, so each place is
+    compared with its own and the neighbouring stretches only; the other terms are
+    looked up in the documents that are left.
     """
-    ranked = ranked_terms(index, windows)
+    ranked = ranked_terms(index, windows) if ranked is None else ranked
     known = index.where("doc_id is not null")
-    moved = known.join(sized(ranked), "term").select(
+    moved = known.join(sized(ranked.where("rank <= 2")), "term").select(
         "doc_id", "window", "n", "rank", (F.col("pos") - F.col("place")).alias("start")
     )
     width = slack + 1
@@ -127,36 +132,67 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slack: int) -> DataF
         F.explode(F.sequence(F.floor((F.col("start") - slack) / width), F.floor((F.col("start") + slack) / width)))
         .alias("stretch"),
     )
-    others = moved.where("rank > 1").select(
-        "doc_id", "window", "rank", "start", F.floor(F.col("start") / width).alias("stretch")
+    second = moved.where("rank = 2").select(
+        "doc_id", "window", "start", F.floor(F.col("start") / width).alias("stretch")
     ).distinct()
-    agreed = anchors.join(others, ["doc_id", "window", "stretch"], "left").groupBy("doc_id", "window", "anchor").agg(
-        F.max("n").alias("n"),
-        F.count_distinct(F.when(F.abs(F.col("start") - F.col("anchor")) <= slack, F.col("rank"))).alias("k"),
+    found = materialize(
+        anchors.join(second, ["doc_id", "window", "stretch"], "left")
+        .where((F.col("n") == 1) | (F.abs(F.col("start") - F.col("anchor")) <= slack))
+        .select("doc_id", "window", "n", "anchor").distinct()
+    )
+    place = F.col("anchor") + F.col("place")
+    checks = found.join(sized(ranked.where("rank > 2").drop("n")), "window").select(
+        "doc_id", "window", "anchor", "rank", "term", F.explode(F.sequence(place - slack, place + slack)).alias("pos")
+    )
+    near = known.join(sized(materialize(found.select("doc_id").distinct())), "doc_id", "left_semi")
+    agreed = checks.join(near, ["doc_id", "pos", "term"]).groupBy("doc_id", "window", "anchor").agg(
+        F.count_distinct("rank").alias("k")
+    )
+    return materialize(
+        found.join(agreed, ["doc_id", "window", "anchor"], "left")
+        .where(F.coalesce("k", F.lit(0)) == F.greatest(F.col("n") - 2, F.lit(0)))
+        .select("doc_id", F.col("anchor").alias("start"), "window")
+    )
+
+
+def _items(matches: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    return (
+        matches.select("doc_id", "window").distinct()
+        .join(windows.select("window", F.explode("items").alias("item_id")), "window")
+        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(name))
     )
-    return agreed.where("k = n - 1").select("doc_id", F.col("anchor").alias("start"), "window")
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, length: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items, contaminated of every row of `docs` (doc_id, text)."""
+def decontaminate(docs: DataFrame, tests: DataFrame, length: int = WINDOW, slack: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, items, contaminated of every row of `docs` (doc_id, text).
+
+    With `slack` also n_near, the number of occurrences of windows whose terms are all
+    within so many words of their places (exact ones included), and near_items.
+    """
     windows = test_windows(tests, length)
     vocabulary = windows.select(F.explode("terms").alias("term"))
     index = build_index(docs.select("doc_id", "text"), vocabulary)
-    matches = phrase_matches(index, windows)
+    ranked = ranked_terms(index, windows)
+    matches = phrase_matches(index, windows, ranked=ranked)
     hit = (
         matches.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
         .distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     )
-    items = (
-        matches.select("doc_id", "window").distinct()
-        .join(windows.select("window", F.explode("items").alias("item_id")), "window")
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    )
     # As many rows as documents with a hit.
-    result = sized(materialize(hit.join(items, "doc_id")))
+    result = sized(materialize(hit.join(_items(matches, windows, "items"), "doc_id")))
     ends = index.where(F.col("term") == F.xxhash64(F.lit(END))).select("doc_id", F.col("pos").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
+    further = []
+    if slack is not None:
+        close = proximity_matches(index, windows, slack, ranked)
+        counts = close.groupBy("doc_id").agg(F.count("*").alias("n_near"))
+        ends = ends.join(sized(materialize(counts.join(_items(close, windows, "near_items"), "doc_id"))), "doc_id", "left")
+        further = [
+            F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+            F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
+        ]
     return ends.join(result, "doc_id", "left").select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"),
+        *further,
     )

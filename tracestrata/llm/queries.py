@@ -79,6 +79,12 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    found = decontaminate.decontaminate(documents, benchmark, slack=decontaminate.SLACK)
+    return found.select("doc_id", "n_words", "n_hit", "contaminated", "n_near", F.array_join("near_items", ",").alias("near_items"))
+
+
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept")
 
@@ -99,6 +105,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lattice_lm, op3_toxicity_grammar, op4_secret_battery, op5_packing,
-        op6_decontaminate, op7_suffix_dedup, op8_html_crf, op9_near_duplicates, op10_url_templates,
+        op6_decontaminate, op6_near_passages, op7_suffix_dedup, op8_html_crf, op9_near_duplicates, op10_url_templates,
     )
 }
