@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracestrata.llm import (
+    conversation_repair,
     decontaminate,
     html_text,
     lattice_lm,
@@ -101,10 +102,16 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    damaged = conversation_repair.damaged(_table(spark, folder, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(damaged))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_lattice_lm, op3_toxicity_grammar, op4_secret_battery, op5_packing,
         op6_decontaminate, op6_near_passages, op7_suffix_dedup, op8_html_crf, op9_near_duplicates, op10_url_templates,
+        op13_conversation_repair,
     )
 }
