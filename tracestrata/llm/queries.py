@@ -20,6 +20,7 @@ from tracestrata.llm import (
     substring_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 from tracestrata.llm.oracles import ORACLES  # noqa: F401
 
@@ -102,6 +103,10 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     damaged = conversation_repair.damaged(_table(spark, folder, "conversations"))
     return conversation_repair.report(conversation_repair.repair(damaged))
@@ -112,6 +117,6 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_lattice_lm, op3_toxicity_grammar, op4_secret_battery, op5_packing,
         op6_decontaminate, op6_near_passages, op7_suffix_dedup, op8_html_crf, op9_near_duplicates, op10_url_templates,
-        op13_conversation_repair,
+        op11_embedding_whitening, op13_conversation_repair,
     )
 }
