@@ -15,6 +15,7 @@ from tracestrata.llm import (
     lattice_lm,
     near_duplicates,
     packing,
+    prefix_free,
     quality,
     secrets,
     substring_dedup,
@@ -107,6 +108,12 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
 
+def op12_prefix_free_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_free.remove_repeats(_table(spark, folder, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     damaged = conversation_repair.damaged(_table(spark, folder, "conversations"))
     return conversation_repair.report(conversation_repair.repair(damaged))
@@ -117,6 +124,6 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_lattice_lm, op3_toxicity_grammar, op4_secret_battery, op5_packing,
         op6_decontaminate, op6_near_passages, op7_suffix_dedup, op8_html_crf, op9_near_duplicates, op10_url_templates,
-        op11_embedding_whitening, op13_conversation_repair,
+        op11_embedding_whitening, op12_prefix_free_dedup, op13_conversation_repair,
     )
 }
