@@ -15,12 +15,13 @@ and `length - d` behind.
 
 Only what may repeat goes that far. Phrases whose key occurs once are dropped by a
 count; phrases that occur twice as a whole repeat as a whole; bytes are fetched for the
-rest, once for each distinct phrase of a key that has several. Equal texts are one text
-with a number of copies from the beginning. Phrases are counted before they are shuffled,
-and a key with more than `crowded` phrases is settled by counting fingerprints of single
-strings instead, so no task gets an unbounded group.
+rest, once for each distinct phrase of a key that has several. A task parses equal texts
+twice at most, phrases are counted before they are shuffled, and a key with more than
+`crowded` phrases is settled by counting fingerprints of single strings instead, so no
+task gets an unbounded group.
 
-Texts are shuffled once, by their 128-bit hash, for three uses in one plan.
+Texts go by their 128-bit hash. They are parsed where they lie and shuffled once, to
+meet the wanted phrases and in the end what is removed of them.
 
 Defined results. Strings are bytes of UTF-8, within one row. Null text: empty. Every
 row is a document of its own, whatever its doc_id, which may be null. Texts shorter
@@ -37,7 +38,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from tracestrata import materialize
 from tracestrata.llm.text import _bytes, mix, seeds, slices
 
 LENGTH = 200
@@ -126,28 +130,47 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int):
                rolling.of(lo, hi + length).astype(np.int64))
 
 
-# A place: first start, bytes to the trigger, starts after the first, and whether the text has copies.
-def _pack(lo, left, span, copies):
-    return (lo << 17) | (left << 9) | (span << 1) | copies
+# A place: first start, bytes to the trigger, starts after the first, and whether the task had the text before.
+def _pack(lo, left, span, again):
+    return (lo << 17) | (left << 9) | (span << 1) | again
 
 
 def _unpack(place):
-    return place >> 17, (place >> 9) & 255, (place >> 1) & 255, place & 1
+    return place >> 17, (place >> 9) & 255, (place >> 1) & 255
 
 
 def _parse(length: int):
+    """Phrases of the texts; of equal ones only the first two, the second one marked."""
+
+    def fresh(batch: pa.RecordBatch, seen: dict) -> tuple[list[int], list[int]]:
+        rows, again = [], []
+        for k, name in enumerate(zip(batch.column("h").to_pylist(), batch.column("h2").to_pylist())):
+            times = seen.get(name, 0)
+            if times < 2:
+                seen[name] = times + 1
+                rows.append(k)
+                again.append(times)
+        return rows, again
+
     def task(batches):
+        seen: dict = {}
         for batch in batches:
+            rows, again = fresh(batch, seen)
+            if len(rows) < batch.num_rows:
+                batch = batch.take(pa.array(rows, pa.int64()))
+            again = np.array(again, np.int64)
+            done = 0
             for part in slices(batch, "text", SLICE):
                 data, offsets = _bytes(part.column("text"))
-                ids = [part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "h2", "copies")]
+                ids = [part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "h2")]
                 for lo, anchor, hi, key, phrase in phrases(data, offsets, length):
                     doc = np.searchsorted(offsets, lo, "right") - 1
-                    place = _pack(lo - offsets[doc], anchor - lo, hi - lo, (ids[2][doc] > 1).astype(np.int64))
+                    place = _pack(lo - offsets[doc], anchor - lo, hi - lo, again[done + doc])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(phrase), pa.array(ids[0][doc]), pa.array(ids[1][doc]), pa.array(place)],
                         names=["key", "phrase", "h", "h2", "place"],
                     )
+                done += part.num_rows
 
     return task
 
@@ -156,26 +179,27 @@ _PHRASE = "key long, h long, h2 long, begin long, span int, settled boolean, lea
 
 
 def _fetch(length: int):
-    """The bytes of the wanted phrases of each text, before and from the trigger on."""
+    """The bytes of the wanted phrases of each text, before and from the trigger on; of equal texts once."""
+    names = ("key", "h", "h2", "begin", "span", "settled", "lead", "rest")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
 
     def task(batches):
+        seen: set = set()
         for batch in batches:
-            texts = batch.column("text")
-            for k, wanted in enumerate(batch.column("wanted")):
-                text = texts[k].as_buffer()
-                rows = {name: [] for name in ("key", "h", "h2", "begin", "span", "settled", "lead", "rest")}
-                raw = memoryview(text)
-                for w in wanted.as_py():
-                    lo, left, span, _ = _unpack(w["place"])
-                    values = (w["key"], batch.column("h")[k].as_py(), batch.column("h2")[k].as_py(), lo, span, w["settled"],
-                              bytes(raw[lo : lo + left]), bytes(raw[lo + left : lo + span + length]))
-                    for name, value in zip(rows, values):
-                        rows[name].append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-                arrays = [pa.array(v, t) for v, t in zip(rows.values(), kinds)]
-                whole = pa.RecordBatch.from_arrays(arrays, names=list(rows))
-                for first in range(0, whole.num_rows, ORDER_ROWS):
-                    yield whole.slice(first, ORDER_ROWS)
+            for k, name in enumerate(zip(batch.column("h").to_pylist(), batch.column("h2").to_pylist())):
+                if name in seen:
+                    continue
+                seen.add(name)
+                raw = memoryview(batch.column("text")[k].as_buffer())
+                wanted = batch.column("wanted")[k].as_py()
+                for first in range(0, len(wanted), ORDER_ROWS):
+                    rows = []
+                    for w in wanted[first : first + ORDER_ROWS]:
+                        lo, left, span = _unpack(w["place"])
+                        rows.append((w["key"], *name, lo, span, w["settled"], bytes(raw[lo : lo + left]),
+                                     bytes(raw[lo + left : lo + span + length])))
+                    arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=list(names))
 
     return task
 
@@ -299,42 +323,38 @@ def _strings(length: int):
     return task
 
 
-_CUT = (
-    "h long, h2 long, n_removed long, kept_sha256 string, spans array<struct<begin: bigint, end: bigint>>"
-)
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that touch put together."""
+    runs: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if runs and begin <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(runs[-1][1], end)
+        else:
+            runs.append((begin, end))
+    return runs
 
 
-def _cut(length: int):
+def _cut(schema: pa.Schema):
     """What is removed of each text: runs of bytes, and the digest of the rest."""
 
     def task(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                raw = memoryview(batch.column("text")[k].as_buffer())
-                runs: list[list[int]] = []
-                if batch.column("copies")[k].as_py() > 1:
-                    runs = [[0, len(raw)]]
-                else:
-                    marked = batch.column("marked").slice(k, 1).fill_null([]).flatten()
-                    spans = np.stack([np.asarray(marked.field(i), np.int64) for i in (0, 1)], axis=1)
-                    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                    for begin, end in spans.tolist():
-                        if runs and begin <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], end)
-                        else:
-                            runs.append([begin, end])
+            removed, digests, spans = [], [], []
+            marked = batch.column("marked")
+            for k, text in enumerate(batch.column("text")):
+                raw = memoryview(text.as_buffer())
+                runs = _runs([(m["begin"], m["end"]) for m in marked[k].as_py() or []])
                 digest, at = hashlib.sha256(), 0
                 for begin, end in runs:
                     digest.update(raw[at:begin])
                     at = end
                 digest.update(raw[at:])
-                yield pa.RecordBatch.from_pylist(
-                    [{"h": batch.column("h")[k].as_py(), "h2": batch.column("h2")[k].as_py(),
-                      "n_removed": sum(e - b for b, e in runs), "kept_sha256": digest.hexdigest(),
-                      "spans": [{"begin": b, "end": e} for b, e in runs]}],
-                    schema=pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
-                                      ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]),
-                )
+                removed.append(sum(end - begin for begin, end in runs))
+                digests.append(digest.hexdigest())
+                spans.append([{"begin": begin, "end": end} for begin, end in runs])
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()),
+                       pa.array(spans, schema.field("spans").type), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return task
 
@@ -361,18 +381,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
         "doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit("2"), "text").alias("h2"),
         F.octet_length("text").cast("long").alias("n_bytes"),
     )
-    texts = (
-        named.where(F.col("n_bytes") >= length).groupBy("h", "h2")
-        .agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    )
-    parse = texts.select("h", "h2", "copies", "text").mapInArrow(
+    parse = named.where(F.col("n_bytes") >= length).select("h", "h2", "text").mapInArrow(
         _parse(length), "key long, phrase long, h long, h2 long, place long"
     )
-    with_copies = F.col("place").bitwiseAND(1)
-    shared = parse.groupBy("key").agg((F.count("*") + F.max(with_copies)).alias("n")).where("n > 1").select("key")
-    found = parse.join(shared, "key")
+    again = F.col("place").bitwiseAND(1)
+    shared = parse.groupBy("key").agg((F.count("*") + F.max(again)).alias("n")).where("n > 1").select("key")
+    found = materialize(parse.join(shared, "key"))
     dictionary = found.groupBy("key", "phrase").agg(
-        (F.count("*") + F.max(with_copies) > 1).alias("settled"), F.first("h").alias("h"), F.first("h2").alias("h2"),
+        (F.count("*") + F.max(again) > 1).alias("settled"), F.first("h").alias("h"), F.first("h2").alias("h2"),
         F.first("place").alias("place"),
     )
     # Phrases that occur twice: all their strings do.
@@ -388,28 +404,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
     wanted = (
         dictionary.join(several, "key").groupBy("h", "h2", "crowd").agg(F.collect_list(entry).alias("wanted"))
     )
-    fetched = texts.select("h", "h2", "copies", "text").join(wanted, ["h", "h2"])
+    # Both joins of the texts take all their columns, so that one shuffle serves them.
+    texts = ["doc_id", "n_bytes", "h", "h2", "text"]
+    fetched = named.select(texts).join(wanted, ["h", "h2"])
 
     def of(crowd: bool) -> DataFrame:
         rows = fetched.where(F.col("crowd") if crowd else ~F.col("crowd"))
-        return rows.select("h", "h2", "copies", "text", "wanted").mapInArrow(_fetch(length), _PHRASE)
+        return rows.select(*texts, "wanted").mapInArrow(_fetch(length), _PHRASE)
 
     grouped = of(False).repartition("key").sortWithinPartitions("key")
     strings = of(True).mapInArrow(_strings(length), "one long, two long, h long, h2 long, begin long")
-    again = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    twice = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     spans = (
         spans.union(grouped.mapInArrow(_combine(length), _SPAN))
-        .union(strings.join(again, ["one", "two"]).select("h", "h2", "begin", (F.col("begin") + length).alias("end")))
-    )
-    marked = spans.groupBy("h", "h2").agg(F.collect_list(F.struct("begin", "end")).alias("marked"))
-    cut = (
-        texts.select("h", "h2", "copies", "text").join(marked, ["h", "h2"], "left")
-        .mapInArrow(_cut(length), _CUT)
+        .union(strings.join(twice, ["one", "two"]).select("h", "h2", "begin", (F.col("begin") + length).alias("end")))
     )
-    short = F.when(F.col("n_bytes") < length, F.sha2(F.col("text").cast("binary"), 256))
-    told = named.select("doc_id", "h", "h2", "n_bytes", short.alias("whole")).join(cut, ["h", "h2"], "left")
-    none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
-    return told.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("spans", none).alias("spans"), F.coalesce("whole", "kept_sha256").alias("kept_sha256"),
+    marked = spans.groupBy("h", "h2").agg(F.collect_set(F.struct("begin", "end")).alias("marked"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ddl = (
+        f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<begin: bigint, end: bigint>>, kept_sha256 string"
     )
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return named.select(texts).join(marked, ["h", "h2"], "left").select(*texts, "marked").mapInArrow(_cut(schema), ddl)
