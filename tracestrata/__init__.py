@@ -3,6 +3,7 @@
 from tracestrata.errors import (
     AnalyticsError,
     CalculationError,
+    ConcurrentWriteError,
     ContractError,
     DataPreparationError,
     MissingDataError,
@@ -14,6 +15,7 @@ __all__ = [
     "AnalysisSettings",
     "AnalyticsError",
     "CalculationError",
+    "ConcurrentWriteError",
     "ContractError",
     "DataPreparationError",
     "MinerSettings",

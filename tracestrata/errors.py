@@ -19,3 +19,7 @@ class DataPreparationError(AnalyticsError):
 
 class CalculationError(AnalyticsError):
     """A statistic cannot be computed from the given input."""
+
+
+class ConcurrentWriteError(AnalyticsError):
+    """Another writer replaced a table's snapshot in the meantime; nothing was lost, try again."""

@@ -63,6 +63,19 @@ LEDGER = _struct(
     updated_at=T.TimestampType(),
 )
 
+# A landed file as it was when it was read.
+FILE = _struct(path=_TEXT, length=_LONG, checksum=_TEXT)
+
+# A ledger record as it is stored: also the files that the hour was read from, and
+# the number of the ledger's snapshot, which orders records without any clock.
+LEDGER_STORED = T.StructType(
+    [*LEDGER.fields, T.StructField("files", T.ArrayType(FILE)), T.StructField("version", _LONG)]
+)
+
+# What was wrong with a landed file: a line of it (numbered from 0, at a byte offset of
+# the unpacked text), or the file as a whole (the offset up to which it could be unpacked).
+DEFECT = _struct(hour=_TEXT, path=_TEXT, cause=_TEXT, line=_LONG, offset=_LONG)
+
 # The nested ledger document of the older one-file-per-day layout.
 LEDGER_DOCUMENT = _struct(
     hours_processed=T.MapType(_TEXT, _struct(total=_LONG, distilled=_LONG, bad=_LONG)),

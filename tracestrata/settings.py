@@ -43,6 +43,11 @@ class Store:
     def ledger(self) -> str:
         return f"{self.root}/ledger"
 
+    @property
+    def defects(self) -> str:
+        """What was wrong with landed files, by hour."""
+        return f"{self.root}/defects"
+
 
 @dataclass(frozen=True)
 class AnalysisSettings:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from tracestrata import contracts as C
 from tracestrata.errors import DataPreparationError, MissingDataError
 from tracestrata.functions import scalars as S
 from tracestrata.schemas import EVENT
+from tracestrata.sources import files, snapshots
 
 DAY = ("anno", "mese", "giorno")
 HOUR = (*DAY, "hour")
+# Where the data folders of a day lie below the dataset.
+DAY_FOLDERS = "anno=*/mese=*/giorno=*/version=*"
+_OLDER = "*.parquet"
 
 
 def read_events(
@@ -20,22 +28,48 @@ def read_events(
 ) -> DataFrame:
     """Events of the days from `start` to `end`, both inclusive.
 
-    The bound is a predicate on the partition columns, so other days are not
-    listed as input and days without a folder are simply absent. Columns a
-    dataset lacks are added as null; without an ``event_seq`` the position in
-    the file orders events of equal time.
+    A dataset with snapshots is read through the newest one: only the live folders
+    of the wanted days are named, and what is compacted or replaced meanwhile does
+    not show. Any other dataset is read as it lies; the bound is a predicate on the
+    partition columns, so other days are not listed as input and days without a
+    folder are simply absent. Columns a dataset lacks are added as null; without an
+    ``event_seq`` the position in the file orders events of equal time.
     """
+    window = None
+    if start is not None and end is not None:
+        window = S.parse_utc(start).date(), S.parse_utc(end).date()
+    seen = snapshots.current(spark, base)
     try:
-        stored = spark.read.parquet(base)
+        stored = spark.read.parquet(base) if seen is None else _live(spark, base, seen, window)
     except AnalysisException as error:
         raise MissingDataError(f"no event dataset at {base}") from error
     C.require_columns(stored, [*C.CORE_EVENTS, *DAY], base, DataPreparationError)
-    if start is not None and end is not None:
-        first, last = S.parse_utc(start).date(), S.parse_utc(end).date()
-        stored = stored.where(F.make_date(*DAY).between(F.lit(first), F.lit(last)))
+    if window is not None:
+        stored = stored.where(F.make_date(*DAY).between(*(F.lit(day) for day in window)))
     return _conform(stored)
 
 
+def day_of_folder(folder: str) -> date:
+    """The day of a data folder of the dataset."""
+    parts = dict(part.split("=", 1) for part in folder.split("/") if "=" in part)
+    return date(*(int(parts[name]) for name in DAY))
+
+
+def _live(
+    spark: SparkSession, base: str, seen: snapshots.Snapshot, window: tuple[date, date] | None
+) -> DataFrame:
+    chosen = [f for f in seen.folders if window is None or window[0] <= day_of_folder(f) <= window[1]]
+    if not chosen:
+        return spark.createDataFrame([], EVENT)
+    # Days from before there were snapshots have no folder of their own.
+    older = [f for f in chosen if f.endswith(_OLDER)]
+    parts = [
+        spark.read.option("basePath", base).parquet(*snapshots.paths(base, group))
+        for group in ([f for f in chosen if f not in older], older) if group
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _conform(stored: DataFrame) -> DataFrame:
     present = set(stored.columns)
 
@@ -63,18 +97,48 @@ def overwrite_partitions(df: DataFrame, path: str, columns: tuple[str, ...]) ->
     )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def replace_days(
+    df: DataFrame, base: str, days: Sequence[date], seen: snapshots.Snapshot | None
+) -> snapshots.Snapshot:
+    """Make the rows of `df` the whole content of `days`; other days stay as they were `seen`.
+
+    The new folders are written first and become visible by one snapshot, so a
+    reader sees all of these days before or after the change, and a crash before
+    the snapshot changes nothing.
+    """
+    spark = df.sparkSession
+    version = snapshots.new_folder("version")
+    name, value = version.split("=")
+    (
+        df.drop(name).withColumn(name, F.lit(value))
+        .write.mode("append").option("compression", "zstd").partitionBy(*DAY, name).parquet(base)
+    )
+    made = [f"anno={d.year}/mese={d.month}/giorno={d.day}" for d in days]
+    made = [f"{day}/{version}" for day in made]
+    made = [folder for folder in made if files.exists(spark, f"{base}/{folder}")]
+    replaced = set(days)
+    kept = _known(spark, base) if seen is None else seen.folders
+    kept = [folder for folder in kept if day_of_folder(folder) not in replaced]
+    return snapshots.commit(spark, base, seen, [*kept, *made])
+
+
+def _known(spark: SparkSession, base: str) -> list[str]:
+    """The days of a dataset from before it had snapshots, as patterns of their files."""
+    found = files.matching(spark, base, f"anno=*/mese=*/giorno=*/{_OLDER}", folders=False)
+    return sorted({f"{file.rsplit('/', 1)[0]}/{_OLDER}" for file in found})
+
+
+def vacuum(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+    """Remove day folders that the last `keep` snapshots do not name."""
+    return snapshots.vacuum(spark, base, DAY_FOLDERS, keep)
 
 
 def drop_hours(spark: SparkSession, base: str, hours: list[tuple[int, int, int, str]]) -> None:
     """Remove hour partitions (anno, mese, giorno, hour) of the hourly dataset."""
-    for anno, mese, giorno, hour in hours:
-        target = spark._jvm.org.apache.hadoop.fs.Path(
-            f"{base}/anno={anno}/mese={mese}/giorno={giorno}/hour={hour}"
-        )
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files.remove(
+        spark,
+        (f"{base}/anno={anno}/mese={mese}/giorno={giorno}/hour={hour}" for anno, mese, giorno, hour in hours),
+    )
 
 
 def size_mb(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +146,8 @@ def size_mb(spark: SparkSession, path: str) -> DataFrame:
 
     Contents are not read.
     """
-    if not exists(spark, path):
+    if not files.exists(spark, path):
         return spark.range(1).select(F.lit(0.0).alias("size_mb"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     total = F.coalesce(F.sum("length"), F.lit(0)) / 1048576
-    return files.agg(total.alias("size_mb"))
+    return found.agg(total.alias("size_mb"))

@@ -1,8 +1,11 @@
-"""The hour ledger: one current state per archive hour.
-
-Records are only ever appended; the latest record of an hour is its state, so
-an hour is processed or not found but never both, and a crash between writing
-data and recording it merely repeats the hour.
+"""The hour ledger: one current state per archive hour, and the files it came from.
+
+Records are only ever added; the latest record of an hour is its state, so an
+hour is processed or not found but never both, and a crash between writing data
+and recording it merely repeats the hour. Each batch of records is a folder of
+its own that a snapshot names, and the snapshot's version orders the records. When
+there are many folders they are rewritten as one, in place: readers see the table
+before or after that.
 """
 
 from __future__ import annotations
@@ -12,31 +15,49 @@ from pyspark.sql import functions as F
 
 from tracestrata.functions import scalars as S
 from tracestrata.functions import vocabulary as V
-from tracestrata.schemas import LEDGER, LEDGER_DOCUMENT
+from tracestrata.schemas import LEDGER, LEDGER_DOCUMENT, LEDGER_STORED
 from tracestrata.settings import Store
-from tracestrata.sources import dataset
+from tracestrata.sources import files, snapshots
+
+# Folders of records at which the ledger is rewritten as one.
+COMPACT_AT = 64
 
 
 def read_records(spark: SparkSession, store: Store) -> DataFrame:
-    if not dataset.exists(spark, store.ledger):
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(store.ledger)
+    seen = snapshots.current(spark, store.ledger)
+    reader = spark.read.schema(LEDGER_STORED)
+    if seen is not None:
+        return reader.parquet(*snapshots.paths(store.ledger, seen.folders)) if seen.folders else _nothing(spark)
+    # A ledger of plain files, from before there were snapshots.
+    return reader.parquet(store.ledger) if files.exists(spark, store.ledger) else _nothing(spark)
+
+
+def _nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LEDGER_STORED)
 
 
 def current(records: DataFrame) -> DataFrame:
     """Latest record of each hour; of records of one instant, a processed one with the most rows."""
-    fields = [name for name in LEDGER.names if name != "hour"]
-    rank = F.struct("updated_at", F.col("status") == V.PROCESSED, "total", "distilled", "bad")
+    fields = [name for name in records.columns if name != "hour"]
+    newest = [F.coalesce("version", F.lit(0))] if "version" in records.columns else []
+    rank = F.struct(*newest, "updated_at", F.col("status") == V.PROCESSED, "total", "distilled", "bad")
     latest = F.max_by(F.struct(*fields), rank).alias("latest")
     return records.groupBy("hour").agg(latest).select("hour", "latest.*")
 
 
 def read(spark: SparkSession, store: Store) -> DataFrame:
-    return current(read_records(spark, store))
+    """The state of every hour (the ledger's seven columns)."""
+    return read_manifest(spark, store).select(*LEDGER.names)
+
+
+def read_manifest(spark: SparkSession, store: Store) -> DataFrame:
+    """The state of every hour with the files it was read from (null: not known)."""
+    return current(read_records(spark, store)).drop("version")
 
 
 def record(hours: DataFrame, status: str) -> DataFrame:
-    """Ledger rows for (hour, total, distilled, bad)."""
+    """Ledger rows for (hour, total, distilled, bad) and, if there, files."""
+    known = F.col("files") if "files" in hours.columns else F.lit(None)
     return hours.select(
         "hour",
         F.to_date(S.hour_time(F.col("hour"))).alias("day"),
@@ -45,16 +66,44 @@ def record(hours: DataFrame, status: str) -> DataFrame:
         "distilled",
         "bad",
         F.current_timestamp().alias("updated_at"),
+        known.cast(LEDGER_STORED["files"].dataType).alias("files"),
     )
 
 
 def append(records: DataFrame, store: Store) -> None:
-    records.coalesce(1).write.mode("append").parquet(store.ledger)
+    """Add records, and rewrite the ledger if it has become many small folders."""
+    spark = records.sparkSession
+    seen = snapshots.current(spark, store.ledger)
+    kept = list(seen.folders) if seen else []
+    if seen is None and files.exists(spark, store.ledger):
+        kept.append(_write(read_records(spark, store), store, 0))
+    version = seen.version + 1 if seen else 1
+    made = snapshots.commit(spark, store.ledger, seen, [*kept, _write(records, store, version)])
+    if len(made.folders) >= COMPACT_AT:
+        compact(spark, store)
+
+
+def _write(records: DataFrame, store: Store, version: int) -> str:
+    folder = snapshots.new_folder("batch")
+    stored = records if "version" in records.columns else records.withColumn("version", F.lit(version).cast("long"))
+    stored.select(*LEDGER_STORED.names).coalesce(1).write.parquet(*snapshots.paths(store.ledger, [folder]))
+    return folder
+
+
+def compact(spark: SparkSession, store: Store, target: Store | None = None) -> None:
+    """One record per hour: in place, while readers go on, or into another store."""
+    if target is not None:
+        state = read_manifest(spark, store)
+        return append(state, target)
+    seen = snapshots.current(spark, store.ledger)
+    if seen is not None and seen.folders:
+        state = current(spark.read.schema(LEDGER_STORED).parquet(*snapshots.paths(store.ledger, seen.folders)))
+        snapshots.commit(spark, store.ledger, seen, [_write(state, store, seen.version)])
 
 
-def compact(spark: SparkSession, store: Store, target: Store) -> None:
-    """Rewrite a ledger with one record per hour into another store."""
-    read(spark, store).repartition(1).write.mode("overwrite").parquet(target.ledger)
+def vacuum(spark: SparkSession, store: Store, keep: int = 2) -> list[str]:
+    """Remove folders that the last `keep` snapshots do not name."""
+    return snapshots.vacuum(spark, store.ledger, "batch=*", keep)
 
 
 def read_documents(spark: SparkSession, base: str) -> DataFrame:
@@ -101,9 +150,13 @@ def merge_counts(counts: DataFrame, more: DataFrame, key: str = "key") -> DataFr
     return counts.unionByName(more).groupBy(key).agg(F.sum("n").alias("n"))
 
 
-def totals(ledger: DataFrame) -> DataFrame:
-    """Parsed, distilled and bad events over all processed hours."""
-    return ledger.where(F.col("status") == V.PROCESSED).agg(
+def totals(ledger: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Parsed, distilled and bad events over the processed hours, or those from `start` to `end`."""
+    hours = ledger.where(F.col("status") == V.PROCESSED)
+    if start is not None and end is not None:
+        bounds = [S.hour_time(F.lit(stamp)) for stamp in (start, end)]
+        hours = hours.where(S.hour_time(F.col("hour")).between(*bounds))
+    return hours.agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distilled", "bad"))
     )
 

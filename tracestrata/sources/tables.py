@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracestrata import contracts as C
 from tracestrata.errors import ContractError, DataPreparationError, MissingDataError
 from tracestrata.schemas import MODEL_EDGES, MODEL_NODES
-from tracestrata.sources import dataset
+from tracestrata.sources import files
 
 MODEL_TYPES = ("frequency", "performance")
 
@@ -95,7 +95,7 @@ def read_model(
 
     def load(name, schema):
         path = f"{output}/{name}"
-        if not dataset.exists(spark, path):
+        if not files.exists(spark, path):
             return spark.createDataFrame([], schema)
         table = spark.read.schema(schema).parquet(path)
         return table if archetype is None else table.where(F.col("archetype") == archetype)
