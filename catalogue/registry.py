@@ -419,7 +419,6 @@ def dfg_conversations(spark, folder):
         inputs.conversation_log(spark, folder),
         order=["turn"],
         carried=["activity"],
-        chunk=F.floor(F.col("turn") / 1000),
     )
     return L.flow_table(steps, time=None).select("source", "target", "frequency", "two_loop")
 
@@ -530,7 +529,6 @@ def net_edges_conversations(spark, folder):
         inputs.conversation_log(spark, folder),
         order=["turn"],
         carried=["activity"],
-        chunk=F.floor(F.col("turn") / 1000),
     )
     flow = materialize(L.flow_table(steps, time=None))
     edges = mining.discover_net(flow, MinerSettings(0.9, 0.8, 0.7, 5, 5))

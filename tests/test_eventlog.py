@@ -191,3 +191,30 @@ def test_every_key_above_the_limit_is_found(spark):
     """However well the rows compress and however many the keys are."""
     rows = spark.range(3000 * 4).selectExpr("id % 3000 AS key")
     assert len(skew.hot_keys(rows, ["key"], 4)) == 3000 and skew.hot_keys(rows, ["key"], 5) == []
+
+
+def test_cases_are_cut_anywhere(spark):
+    """One case in one instant fills all partitions; cuts fall between any two of its events."""
+    from tracestrata.operators import traces
+
+    data = [("g", None if i % 7 == 0 else f"c{i % 2}" if i < 30 else "big", "abcd"[i % 4] if i % 5 else None, START, i) for i in range(200)]
+    log = spark.createDataFrame(data, "archetype string, case_id string, activity string, timestamp timestamp, event_seq long")
+    case, order, carried = ["archetype", "case_id"], ["timestamp", "event_seq"], ["activity", "event_seq"]
+
+    def rows_of(df):
+        return sorted((r["event_seq"], r["next"] and tuple(r["next"]), r["next2"] and tuple(r["next2"])) for r in df.collect())
+
+    whole = rows_of(L.successors(log, case, order, carried))
+    for size in (1, 3, 40):
+        assert rows_of(traces.neighbours(log, case, order, carried, size)) == whole
+    assert traces.neighbours(log.limit(0), case, order, carried, 5).count() == 0
+    same = traces.neighbours(log, case, order, carried, 40)
+    assert [f.name for f in same.schema] == [f.name for f in L.successors(log, case, order, carried).schema]
+
+
+def test_halo_rows_skip_short_partitions():
+    from tracestrata.operators import traces
+
+    rows = [{"_part": p, "x": x} for p, x in ((0, 1), (0, 2), (2, 3), (5, 4), (5, 5))]
+    halos = traces._halos(rows)
+    assert {p: [r["x"] for r in after] for p, after in halos.items()} == {0: [3, 4], 2: [4, 5], 5: []}

@@ -12,11 +12,9 @@ from tracestrata import contracts as C
 from tracestrata.functions import predicates as P
 from tracestrata.functions import scalars as S
 from tracestrata.errors import ContractError
-from tracestrata.operators import skew
+from tracestrata.operators import skew, traces
 from tracestrata.settings import HOT_KEY_ROWS
 
-_MICROS_PER_HOUR = 3_600_000_000
-
 
 def named_events(events: DataFrame) -> DataFrame:
     """Human core-workflow events with their step name; nameless steps drop out."""
@@ -69,38 +67,23 @@ def successors(
     Adds the structs ``next`` and ``next2`` holding the `carried` columns, null
     past the end of the case. `order` must be total within a case.
 
-    A case too large for one task is cut into chunks of its order (by default
-    the hour of the first order column). Neighbours inside a chunk come from
-    the chunk; the two events at either end of each chunk, which are all that
-    can have a neighbour elsewhere, are then ordered among themselves.
+    Cases with `hot_rows` events or more, too large for one task, are ordered by
+    range partitioning instead (`traces.neighbours`), which may cut them anywhere; so
+    `chunk`, where earlier versions cut them, is no longer needed and has no effect.
     """
     step = F.struct(*(F.col(c) for c in carried))
 
-    def with_leads(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        window = W.partitionBy(*keys).orderBy(*order)
+    def with_leads(df: DataFrame) -> DataFrame:
+        window = W.partitionBy(*case).orderBy(*order)
         return df.withColumns(
             {"next": F.lead(step, 1).over(window), "next2": F.lead(step, 2).over(window)}
         )
 
     hot = skew.hot_keys(log, case, hot_rows)
     if not hot:
-        return with_leads(log, case)
-
-    if chunk is None:
-        chunk = F.floor(F.unix_micros(F.col(order[0])) / _MICROS_PER_HOUR)
+        return with_leads(log)
     ordinary, large = skew.split(log, case, hot)
-    pieces = [*case, "_chunk"]
-    chunked = with_leads(large.withColumn("_chunk", chunk), pieces).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*pieces).orderBy(*order))
-    )
-    inside = chunked.where(F.col("next2").isNotNull()).drop("_chunk", "_rank")
-    ends = chunked.where((F.col("_rank") <= 2) | F.col("next2").isNull())
-    stitched = (
-        with_leads(ends.withColumn("_last", F.col("next2").isNull()), case)
-        .where("_last")
-        .drop("_chunk", "_rank", "_last")
-    )
-    return with_leads(ordinary, case).unionByName(inside).unionByName(stitched)
+    return with_leads(ordinary).unionByName(traces.neighbours(large, case, order, carried, hot_rows))
 
 
 def flow_table(

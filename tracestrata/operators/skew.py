@@ -26,8 +26,10 @@ def hot_keys(df: DataFrame, columns: Sequence[str], min_rows: int = HOT_KEY_ROWS
     Rows are counted exactly: partial counts are made where the rows are, and
     only those are shuffled. At most rows / `min_rows` numbers come back to the
     driver. Fetching them once keeps every later use of the set identical, even
-    after a retry.
+    after a retry. A table with fewer rows in all is only looked at, not counted by key.
     """
+    if df.select(F.lit(1)).limit(min_rows).count() < min_rows:
+        return []
     counts = df.select(key_hash(columns).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     found = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n"), "key")
     return [row["key"] for row in found.select("key").collect()]
