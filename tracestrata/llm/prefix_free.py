@@ -52,7 +52,7 @@ KEY = 50
 CROWDED = 20_000
 # Rows of phrases that are put in order at a time, at about 400 bytes each.
 ORDER_ROWS = 20_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 _POSITION = 21  # bits of a position in a slice
 
 
@@ -387,9 +387,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
     again = F.col("place").bitwiseAND(1)
     shared = parse.groupBy("key").agg((F.count("*") + F.max(again)).alias("n")).where("n > 1").select("key")
     found = materialize(parse.join(shared, "key"))
-    dictionary = found.groupBy("key", "phrase").agg(
-        (F.count("*") + F.max(again) > 1).alias("settled"), F.first("h").alias("h"), F.first("h2").alias("h2"),
-        F.first("place").alias("place"),
+    # Stored, so that its joins by key shuffle plain rows, which Spark can split where a key has most of them.
+    dictionary = materialize(
+        found.groupBy("key", "phrase").agg(
+            (F.count("*") + F.max(again) > 1).alias("settled"), F.first("h").alias("h"), F.first("h2").alias("h2"),
+            F.first("place").alias("place"),
+        )
     )
     # Phrases that occur twice: all their strings do.
     whole = dictionary.where("settled").select("key", "phrase")
