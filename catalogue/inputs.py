@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracestrata import ensure_utc
 from tracestrata.functions import predicates as P
 from tracestrata.functions import scalars as S
+from tracestrata.functions import vocabulary as V
 
 END = "2024-02-01T00:00:00Z"
 QUARTILES = (0.25, 0.5, 0.75)
@@ -115,6 +116,41 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What `all_types` deals out.
+TYPES = (*V.PAYLOAD_NAMES, "FutureEvent", None)
+ACTIONS = ("started", "opened", "reopened", "closed", "synchronize", "created", "published", "submitted")
+REVIEWS = ("approved", "commented", "changes_requested", None)
+CREATED = ("repository", "branch", "tag", None)
+DELETED = ("branch", "tag", None)
+MERGED = (True, False, None)
+LOGINS = ("x[bot]", None, "u1", "[bot]u", "u2")
+
+
+def _dealt(names: tuple, place: Column) -> Column:
+    return F.get(F.array(*(F.lit(n) for n in names)), (place % len(names)).cast("int"))
+
+
+def all_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The `events` table as events of every type, known or not, with every qualifier."""
+    ensure_utc(spark)
+    parsed = F.get_json_object("props", "$.k").cast("long").alias("k")
+    raw = table(spark, folder, "events").select("*", F.inline(F.array(F.struct(parsed))))
+    e, k = F.col("event_id"), F.col("k")
+    activity = _dealt(TYPES, e)
+    return raw.select(
+        e.alias("event_seq"),
+        F.col("user_id").alias("repo_id"),
+        activity.alias("activity"),
+        F.when(e % 11 != 0, _dealt(ACTIONS, k)).alias("action"),
+        _dealt(REVIEWS, e).alias("review_state"),
+        _dealt(CREATED, k).alias("create_ref_type"),
+        _dealt(DELETED, k).alias("delete_ref_type"),
+        _dealt(MERGED, k).alias("pr_merged"),
+        _dealt(LOGINS, k).alias("actor_login"),
+        S.payload_name(activity).alias("payload_type"),
+    )
+
+
 def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same events as raw archive objects with their archive hour.
 
@@ -146,12 +182,48 @@ def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def land_archive(spark: SparkSession, folder: str, landing: str) -> None:
-    """Write the raw objects as one gzip file per hour, as the archive does."""
+def land_archive(
+    spark: SparkSession, folder: str, landing: str, part: int | None = None
+) -> None:
+    """Write the raw objects as one gzip file per hour, as the archive does.
+
+    With a `part` (0 or 1), only every second event.
+    """
     lines = archive_lines(spark, folder)
+    if part is not None:
+        lines = lines.where(F.col("id").cast("long") % 2 == part)
     (
         lines.repartition("hour")
         .write.partitionBy("hour")
         .option("compression", "gzip")
         .json(landing)
     )
+
+
+def land_with_defects(spark: SparkSession, folder: str, landing: str) -> list[str]:
+    """Land the archive with every seventh line broken, and cut the files of three hours in half.
+
+    Returns the names of those hours, the first three.
+    """
+    lines = archive_lines(spark, folder)
+    value = F.to_json(F.struct(*(c for c in lines.columns if c != "hour")))
+    broken = F.col("id").cast("long") % 7 == 0
+    text = lines.select("hour", F.when(broken, F.left(value, F.lit(20))).otherwise(value).alias("value"))
+    text.repartition("hour").write.partitionBy("hour").option("compression", "gzip").text(landing)
+    hours = [r["hour"] for r in text.select("hour").distinct().orderBy("hour").limit(3).collect()]
+    cut = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
+        [f"{landing}/hour={hour}" for hour in hours]
+    )
+    for row in cut.select("path", "content").collect():
+        content = bytes(row["content"])
+        land_bytes(spark, row["path"], content[: len(content) // 2])
+    return hours
+
+
+def land_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Replace a file by some bytes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(target, True)
+    out.write(bytearray(content), 0, len(content))
+    out.close()

@@ -998,17 +998,22 @@ def _ingested(spark: SparkSession, folder: str) -> Store:
     "reprocess_gate",
     sql.query(
         "SELECT strftime(r.moment, '%Y-%m-%d-') || extract(hour FROM r.moment) AS hour, "
-        "CASE WHEN h.moment IS NOT NULL THEN 'SKIPPED_PROCESSED' "
-        "WHEN p.moment IS NULL THEN 'FAILED_404' ELSE 'to read' END AS outcome "
+        "CASE WHEN h.moment IS NOT NULL AND (p.moment IS NULL OR p.n = p.known) "
+        "THEN 'SKIPPED_PROCESSED' WHEN p.moment IS NULL THEN 'FAILED_404' ELSE 'to read' END AS outcome "
         "FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(timestamp)) FROM ev), "
         "(SELECT date_trunc('hour', max(timestamp)) FROM ev), INTERVAL 1 HOUR)) AS moment) r "
-        "LEFT JOIN hours h USING (moment) LEFT JOIN (SELECT DISTINCT "
-        "date_trunc('hour', timestamp) AS moment FROM ev WHERE activity = 'PushEvent') p "
-        "USING (moment)"
+        "LEFT JOIN hours h USING (moment) LEFT JOIN (SELECT "
+        "date_trunc('hour', timestamp) AS moment, count(*) AS n, "
+        "count(*) FILTER (WHERE event_seq % 5 <> 0) AS known "
+        "FROM ev WHERE activity = 'PushEvent' GROUP BY 1) p USING (moment)"
     ),
 )
 def reprocess_gate(spark, folder):
-    """All hours are requested; those with bots are processed, those with pushes landed."""
+    """All hours are requested; those with bots are processed, those with pushes have a file.
+
+    A file's length is its number of pushes. Files of processed hours were read before
+    the pushes whose number divides by five were there, so some of them have news.
+    """
     events = inputs.events(spark, folder)
     span = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     steps = F.sequence(
@@ -1017,10 +1022,15 @@ def reprocess_gate(spark, folder):
     requested = span.select(F.explode(steps).alias("t")).select(
         S.hour_stamp(F.col("t")).alias("hour")
     )
-    state = inputs.bot_hours(spark, folder).withColumn("status", F.lit(V.PROCESSED))
     pushes = events.where(F.col("activity") == "PushEvent")
-    landed = pushes.select(S.hour_stamp(F.col("timestamp")).alias("hour")).distinct()
-    planned = ingest.plan_hours(requested, state, landed.withColumn("path", F.col("hour")))
+    landed = pushes.groupBy(S.hour_stamp(F.col("timestamp")).alias("hour")).agg(
+        F.count("*").alias("length"), F.count_if(F.col("event_seq") % 5 != 0).alias("known")
+    ).withColumn("path", F.col("hour"))
+    read = F.array(F.struct("path", F.col("known").alias("length"), F.lit(None).cast("string").alias("checksum")))
+    state = inputs.bot_hours(spark, folder).join(landed, "hour", "left").select(
+        "hour", F.lit(V.PROCESSED).alias("status"), F.when(F.col("path").isNotNull(), read).otherwise(F.array()).alias("files")
+    )
+    planned = ingest.plan_hours(requested, state, landed.select("hour", "path", "length"))
     return planned.select("hour", F.coalesce("outcome", F.lit("to read")).alias("outcome"))
 
 
@@ -1169,12 +1179,20 @@ def counter_merge(spark, folder):
     ),
 )
 def day_window_scan(spark, folder):
-    """Consolidated days, scanned through the day window of an analysis.
+    """Consolidated days, scanned through the day window of an analysis."""
+    store = _new_store(spark)
+    ingest_every_hour(spark, _landed(spark, folder), store)
+    events = dataset.read_events(
+        spark, store.events, "2024-01-03T00:00:00Z", "2024-01-20T23:59:59Z"
+    )
+    return events.groupBy("activity").agg(F.count("*").alias("n"))
+
 
-    Hours without an archive file are requested as well, so that days are
-    complete and get consolidated.
+def ingest_every_hour(spark: SparkSession, landing: str, store: Store) -> None:
+    """Ingest the days with landed files and consolidate them.
+
+    Hours without an archive file are requested as well, so that days are complete.
     """
-    landing, store = _landed(spark, folder), _new_store(spark)
     span = archive.list_hours(spark, landing).select(S.hour_time(F.col("hour")).alias("t"))
     days = span.agg(
         F.date_trunc("day", F.min("t")).alias("lo"), F.date_trunc("day", F.max("t")).alias("hi")
@@ -1185,13 +1203,13 @@ def day_window_scan(spark, folder):
     )
     ingest.ingest_hours(spark, landing, store, hours)
     ingest.consolidate_days(spark, store)
-    events = dataset.read_events(
-        spark, store.events, "2024-01-03T00:00:00Z", "2024-01-20T23:59:59Z"
-    )
-    return events.groupBy("activity").agg(F.count("*").alias("n"))
 
 
 @register("dataset_size")
 def dataset_size(spark, folder):
     """Path, size and coverage of an ingested store."""
     return rounded(ingest.dataset_info(spark, _ingested(spark, folder)))
+
+
+# Rows about stores, files and further adapters register themselves.
+from catalogue import stores  # noqa: E402, F401

@@ -10,12 +10,6 @@ from catalogue import registry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = [f[: -len(".parquet")] for f in os.listdir(FOLDER)] if os.path.isdir(FOLDER) else []
 
-# Ingest is covered by test_ingest; here one hour per file makes it slow.
-SLOW = {
-    "ingest_distilled", "ingest_twice", "stream_ingest", "ingest_ledger", "ingest_totals",
-    "day_window_scan", "dataset_size",
-}
-
 pytestmark = pytest.mark.skipif(not TABLES, reason="no test tables")
 
 
@@ -38,7 +32,7 @@ def canonical(rows, columns):
     return sorted([value(row[i]) for i in order] for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     rows = [tuple(r) for r in df.collect()]

@@ -8,7 +8,6 @@ five archetypes or thousands of cohorts. Matrices are rows of
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tracestrata.errors import ContractError
 from tracestrata.functions import scalars as S
 from tracestrata.functions import vocabulary as V
+from tracestrata.session import materialize
 
 # Value of an absent cell, per metric.
 ABSENT = {"frequency": 0.0, "performance": -1.0}
@@ -313,47 +313,136 @@ def delta_matrix(
     return _differences(present, pairs, by, normalise)
 
 
+# --- all distances from one row per model ------------------------------------
+
+_CELLS = len(V.SKELETON) ** 2
+
+
+def profiles(nodes: DataFrame, edges: DataFrame, by: str = "archetype") -> DataFrame:
+    """One row per group that has a model or edges: its sets and both its matrices.
+
+    (group, modelled, activities, links, frequency, performance). The sets are sorted
+    arrays. The matrices are arrays over the cells of the skeleton, null where a net
+    has no edge, so a row is bounded by the skeleton and the group's own activities.
+    Whatever compares two groups then needs their two rows and no further shuffle.
+    """
+    names = F.array(*(F.lit(a) for a in V.SKELETON))
+    source, target = (F.array_position(names, F.col(c)).cast("int") for c in ("source", "target"))
+    cell = F.when((source > 0) & (target > 0), (source - 1) * len(V.SKELETON) + target - 1)
+    own = nodes.groupBy(by).agg(F.sort_array(F.collect_set("activity")).alias("activities"))
+    linked = edges.groupBy(by).agg(
+        F.sort_array(F.collect_set(F.struct("source", "target"))).alias("links"),
+        F.collect_list(
+            F.struct(
+                cell.alias("cell"),
+                *(F.col(c).cast("double").alias(m) for m, c in _MEASURE.items()),
+            )
+        ).alias("entries"),
+    )
+
+    def matrix(metric: str) -> Column:
+        def value(i: Column) -> Column:
+            here = F.filter("entries", lambda e: (e["cell"] == i) & e[metric].isNotNull())
+            return F.aggregate(here, F.lit(None).cast("double"), lambda sum_, e: F.coalesce(sum_, F.lit(0.0)) + e[metric])
+
+        return F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), value)
+
+    joined = own.withColumn("modelled", F.lit(True)).join(linked, by, "full")
+    return joined.select(
+        by,
+        F.coalesce("modelled", F.lit(False)).alias("modelled"),
+        F.coalesce("activities", F.array().cast("array<string>")).alias("activities"),
+        F.coalesce("links", F.array().cast("array<struct<source: string, target: string>>")).alias("links"),
+        *(matrix(metric).alias(metric) for metric in _MEASURE),
+    )
+
+
+def _filled(matrix: Column, absent: float) -> Column:
+    return F.transform(matrix, lambda v: F.coalesce(v, F.lit(absent)))
+
+
+def _scaled(matrix: Column) -> Column:
+    """A matrix divided by its total, unless that is not positive."""
+    total = F.aggregate(matrix, F.lit(0.0), lambda sum_, v: sum_ + v)
+    return _let(total, lambda t: F.when(t > 0, F.transform(matrix, lambda v: F.try_divide(v, t))).otherwise(matrix))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` over `value`, which is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum_of(a: Column, b: Column, term) -> Column:
+    return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda sum_, v: sum_ + v)
+
+
+def _vectors(profile: DataFrame, by: str) -> DataFrame:
+    """Profiles with the vectors that are compared, stored: one small row per group."""
+    found = profile.select(
+        by,
+        "modelled",
+        "activities",
+        "links",
+        _scaled(_filled(F.col("frequency"), 0.0)).alias("flow"),
+        # Defaults take part in totals and differences of the Frobenius distance only.
+        _scaled(_filled(F.col("performance"), ABSENT["performance"])).alias("dense"),
+        _scaled(_filled(F.transform("performance", lambda v: F.when(v != ABSENT["performance"], v)), 0.0)).alias("times"),
+    )
+    return materialize(found)
+
+
+def _side_by_side(pairs: DataFrame, vectors: DataFrame, by: str, how: str) -> DataFrame:
+    """Each pair with the structs `a` and `b` of its groups."""
+    row = F.struct(*(c for c in vectors.columns if c != by))
+    for side, name in (("group_a", "a"), ("group_b", "b")):
+        known = vectors.select(F.col(by).alias(side), row.alias(name))
+        pairs = pairs.join(known, side, how)
+    return pairs
+
+
 def manhattan_tvd(
     edges: DataFrame, groups: DataFrame, pairs: DataFrame, by: str = "archetype"
 ) -> DataFrame:
-    """Manhattan and total-variation distance of each pair, for both metrics."""
-    known = modelled_pairs(pairs, groups, by)
-
-    def of(metric: str) -> DataFrame:
-        moved = (
-            delta_matrix(cells(edges, metric, by), known, metric, by=by)
-            .groupBy("group_a", "group_b")
-            .agg(F.sum(F.abs("delta")).alias("manhattan"))
-        )
-        return known.join(moved, ["group_a", "group_b"], "left").select(
-            "group_a",
-            "group_b",
-            F.lit(metric.capitalize()).alias("metric"),
-            F.coalesce("manhattan", F.lit(0.0)).alias("manhattan"),
-        )
+    """Manhattan and total-variation distance of each requested pair, for both metrics."""
+    nodes = groups.select(by, F.lit(None).cast("string").alias("activity"))
+    vectors = _vectors(profiles(nodes, edges, by).where("modelled"), by)
+    both = _side_by_side(pairs.select("group_a", "group_b"), vectors, by, "inner")
+
+    def gap(name: str) -> Column:
+        return _sum_of(F.col(f"a.{name}"), F.col(f"b.{name}"), lambda x, y: F.abs(x - y))
 
-    return of("frequency").unionByName(of("performance")).withColumn(
-        "tvd", F.col("manhattan") / 2
+    told = F.array(
+        F.struct(F.lit("Frequency").alias("metric"), gap("flow").alias("manhattan")),
+        F.struct(F.lit("Performance").alias("metric"), gap("times").alias("manhattan")),
     )
+    return both.select("group_a", "group_b", F.inline(told)).withColumn("tvd", F.col("manhattan") / 2)
 
 
 def similarity(
     nodes: DataFrame, edges: DataFrame, pairs: DataFrame, by: str = "archetype"
 ) -> DataFrame:
-    """The four global similarity matrices in long form, for every given pair."""
-    groups = models(nodes, by)
-    dense = adjacency(groups, edges, "performance", by)
-    parts = {
-        "jaccard_nodes": jaccard(nodes, pairs, ["activity"], by),
-        "jaccard_edges": jaccard(edges, pairs, ["source", "target"], by),
-        "frobenius_frequency": frobenius(cells(edges, "frequency", by), groups, pairs, by),
-        "frobenius_performance": frobenius(dense, groups, pairs, by),
-    }
-    tagged = (
-        part.toDF("group_a", "group_b", "value").withColumn("measure", F.lit(name))
-        for name, part in parts.items()
+    """The four global similarity matrices in long form, for every requested pair.
+
+    Groups without a model have empty sets, and distance 0.0 to every other.
+    """
+    both = _side_by_side(pairs.select("group_a", "group_b"), _vectors(profiles(nodes, edges, by), by), by, "left")
+
+    def alike(name: str) -> Column:
+        kind = "array<string>" if name == "activities" else "array<struct<source: string, target: string>>"
+        a, b = (F.coalesce(f"{side}.{name}", F.array().cast(kind)) for side in ("a", "b"))
+        union = F.size(F.array_union(a, b))
+        return F.when(union == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(a, b)), union))
+
+    def distance(name: str) -> Column:
+        squares = _sum_of(F.col(f"a.{name}"), F.col(f"b.{name}"), lambda x, y: (x - y) * (x - y))
+        modelled = F.coalesce(F.col("a.modelled") & F.col("b.modelled"), F.lit(False))
+        return F.when(modelled, F.sqrt(squares)).otherwise(0.0)
+
+    return both.select(
+        "group_a",
+        "group_b",
+        alike("activities").alias("jaccard_nodes"),
+        alike("links").alias("jaccard_edges"),
+        distance("flow").alias("frobenius_frequency"),
+        distance("dense").alias("frobenius_performance"),
     )
-    of_measure = [
-        F.max(F.when(F.col("measure") == name, F.col("value"))).alias(name) for name in parts
-    ]
-    return reduce(DataFrame.unionByName, tagged).groupBy("group_a", "group_b").agg(*of_measure)

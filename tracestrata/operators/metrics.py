@@ -36,7 +36,7 @@ def dataset_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def _measures(
+def measures(
     popularity: Column, engagement: Column, collaboration: Column, counted: Column
 ) -> list[Column]:
     """Aggregates per repository over the events for which `counted` holds.
@@ -61,7 +61,7 @@ def _measures(
     ]
 
 
-def _with_rates(sums: DataFrame, end: str) -> DataFrame:
+def with_rates(sums: DataFrame, end: str) -> DataFrame:
     """Add the age and the per-day rates; repositories younger than a day drop out."""
     age = S.whole_days(F.col("repo_creation_date"), S.utc_timestamp(S.parse_utc(end)))
     aged = sums.withColumn("age_in_days", age).where(F.col("age_in_days") > 0)
@@ -93,7 +93,7 @@ def repo_metrics(
         events.where(P.is_human())
         .groupBy("repo_id")
         .agg(
-            *_measures(
+            *measures(
                 P.is_popularity() if popularity is None else popularity,
                 P.is_engagement() if engagement is None else engagement,
                 P.is_collaboration() if collaboration is None else collaboration,
@@ -104,7 +104,7 @@ def repo_metrics(
     dated = lookup.select(
         "repo_id", F.col("repo_creation_date").cast("timestamp").alias("repo_creation_date")
     )
-    return _with_rates(sums.join(dated, "repo_id"), end)
+    return with_rates(sums.join(dated, "repo_id"), end)
 
 
 def repo_metrics_of_born(
@@ -126,7 +126,7 @@ def repo_metrics_of_born(
     sums = (
         events.groupBy("repo_id")
         .agg(
-            *_measures(
+            *measures(
                 P.is_popularity() if popularity is None else popularity,
                 P.is_engagement() if engagement is None else engagement,
                 P.is_collaboration() if collaboration is None else collaboration,
@@ -138,4 +138,4 @@ def repo_metrics_of_born(
         .where(F.col("seen_human") & F.col("repo_creation_date").isNotNull())
         .drop("seen_human")
     )
-    return _with_rates(sums.where(F.col("repo_id").isNotNull()), end)
+    return with_rates(sums.where(F.col("repo_id").isNotNull()), end)

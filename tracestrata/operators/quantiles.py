@@ -31,11 +31,11 @@ def _labelled(values: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return values.select("metric", F.map_from_arrays(keys, filled).alias("thresholds"))
 
 
-def _long(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(metric, value): positive values, and null for all others."""
-    doubles = metrics.select(*(F.col(m).cast("double").alias(m) for m in names))
-    long = doubles.unpivot([], list(names), "metric", "value")
-    return long.select("metric", F.when(F.col("value") > 0, F.col("value")).alias("value"))
+def _long(metrics: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(metric, value): positive values, and null for all others; beside the columns to `keep`."""
+    doubles = metrics.select(*keep, *(F.col(m).cast("double").alias(m) for m in names))
+    long = doubles.unpivot(list(keep), list(names), "metric", "value")
+    return long.select(*keep, "metric", F.when(F.col("value") > 0, F.col("value")).alias("value"))
 
 
 def thresholds(
@@ -64,30 +64,70 @@ def thresholds(
     if method != "exact":
         raise ContractError(f"unknown quantile method {method!r}")
 
-    binned = long.withColumn("bin", F.floor(F.log("value") * _BINS_PER_E))
+    bins = _with_bin(long)
+    counts = bins.where(F.col("bin").isNotNull()).groupBy("metric", "bin").agg(F.count("*").alias("n"))
     # At most two bins per metric and quantile are needed: broadcast is bounded.
-    needed = _bins_holding(binned, quantiles).withColumn("needed", F.lit(True))
+    needed = bins_holding(counts, quantiles).select("metric", "bin", F.lit(True).alias("needed"))
     middle = F.exp((F.col("bin") + 0.5) / _BINS_PER_E)
-    compact = binned.join(F.broadcast(needed), ["metric", "bin"], "left").select(
+    compact = bins.join(F.broadcast(needed), ["metric", "bin"], "left").select(
         "metric", F.when(F.col("needed"), F.col("value")).otherwise(middle).alias("value")
     )
     summary = F.percentile("value", wanted)
     return _labelled(compact.groupBy("metric").agg(summary.alias("values")), quantiles)
 
 
-def _bins_holding(binned: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """(metric, bin) of the bins that contain a rank next to a wanted quantile."""
-    bins = binned.where(F.col("bin").isNotNull()).groupBy("metric", "bin").agg(
-        F.count("*").alias("n")
-    )
+def _with_bin(long: DataFrame) -> DataFrame:
+    return long.withColumn("bin", F.floor(F.log("value") * _BINS_PER_E))
+
+
+def binned(
+    metrics: DataFrame, names: Sequence[str] = V.METRICS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(metric, value, bin) of every metric of every row; value and bin are null unless positive."""
+    return _with_bin(_long(metrics, names, keep))
+
+
+def bins_holding(counts: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(metric, bin, before, total) of the bins of a histogram that contain a rank next to a wanted quantile."""
     upto = F.sum("n").over(W.partitionBy("metric").orderBy("bin"))
     total = F.sum("n").over(W.partitionBy("metric"))
     first, last, end = F.col("upto") - F.col("n"), F.col("upto") - 1, F.col("total") - 1
     holds = reduce(
         or_, ((first <= F.ceil(end * q)) & (last >= F.floor(end * q)) for q in quantiles)
     )
-    ranked = bins.select("metric", "bin", "n", upto.alias("upto"), total.alias("total"))
-    return ranked.where(holds).select("metric", "bin")
+    ranked = counts.select("metric", "bin", "n", upto.alias("upto"), total.alias("total"))
+    return ranked.where(holds).select("metric", "bin", (F.col("upto") - F.col("n")).alias("before"), "total")
+
+
+def from_bins(
+    values: DataFrame, needed: DataFrame, quantiles: Sequence[float], names: Sequence[str] = V.METRICS
+) -> DataFrame:
+    """Thresholds from the values of the needed bins alone (`needed` as `bins_holding` gives it).
+
+    A wanted rank lies in a needed bin, so its place there follows from the number of
+    values below the bin. Equal values are counted, not listed.
+    """
+    spark = values.sparkSession
+    rank = W.partitionBy("metric", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    counted = values.groupBy("metric", "bin", "value").agg(F.count("*").alias("n"))
+    placed = counted.select("metric", "bin", "value", "n", F.coalesce(F.sum("n").over(rank), F.lit(0)).alias("below"))
+    start = F.col("before") + F.col("below")
+    placed = placed.join(F.broadcast(needed), ["metric", "bin"]).select(
+        "metric", "value", "total", start.alias("first"), (start + F.col("n") - 1).alias("last")
+    )
+    found = []
+    for q in quantiles:
+        place = (F.col("total") - 1) * F.lit(float(q))
+        low, high = F.floor(place), F.ceil(place)
+
+        def at(rank):
+            return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("value")))
+
+        found.append(F.struct(at(low).alias("low"), at(high).alias("high"), F.max(place - low).alias("part")))
+    listed = placed.groupBy("metric").agg(F.array(*found).alias("found"))
+    every = spark.createDataFrame([(n,) for n in names], "metric string")
+    values = F.transform("found", lambda f: f["low"] + (f["high"] - f["low"]) * f["part"])
+    return _labelled(every.join(F.broadcast(listed), "metric", "left").select("metric", values.alias("values")), quantiles)
 
 
 def threshold_values(table: DataFrame) -> dict[str, dict[str, float]]:

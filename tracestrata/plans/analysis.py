@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tracestrata.errors import MissingDataError
 from tracestrata.functions import scalars as S
 from tracestrata.operators import comparison as K
-from tracestrata.operators import eventlog, metrics, mining, quantiles, strata
+from tracestrata.operators import eventlog, membership, metrics, mining, quantiles, strata
 from tracestrata.session import ensure_utc
 from tracestrata.settings import AnalysisSettings
 from tracestrata.sources import dataset, tables
 
+# Names of the result tables; users of earlier studies look for the reports under these titles.
 REPOSITORIES = "analyzable_repositories.csv"
 METRICS = "metrics_raw.parquet"
 THRESHOLDS = "stratification_thresholds.json"
@@ -26,6 +27,10 @@ SIMILARITY = "similarity.csv"
 DISTANCES = "structural_distance_metrics.csv"
 DELTAS = "delta_matrices"
 COUNTS = "activity_counts.csv"
+SKELETON = "activity_skeleton.csv"
+TOP_ACTIVITIES = "top_activities.csv"
+PROFILE = "ratio_profile.csv"
+DISPLAY = "adjacency_display"
 
 # Column titles of the two published report tables.
 _IDENTIKIT_TITLES = {
@@ -65,8 +70,12 @@ def run_stratification(spark: SparkSession, settings: AnalysisSettings) -> DataF
     if spark.read.schema("repo_id long").csv(settings.path(REPOSITORIES), header=True).isEmpty():
         raise MissingDataError("no repository was created within the window")
 
+    # Repositories born before the window are most of those with events; they are dropped
+    # while scanning instead of after all their events have been aggregated and shuffled.
+    born = membership.may_contain(lookup, "repo_id")
     tables.write_table(
-        metrics.repo_metrics_of_born(events, settings.end), settings.path(METRICS)
+        metrics.repo_metrics_of_born(events.where(born(F.col("repo_id"))), settings.end),
+        settings.path(METRICS),
     )
     measured = spark.read.parquet(settings.path(METRICS))
     found = quantiles.thresholds(measured, settings.quantiles, method=settings.quantile_method)
@@ -95,9 +104,9 @@ def run_discovery(spark: SparkSession, settings: AnalysisSettings) -> None:
     events = dataset.read_events(spark, settings.dataset, settings.start, settings.end)
     members = strata.archetype_members(stratified)
     log = eventlog.event_log(events, members, hot_rows=settings.hot_rows)
-    tables.write_by_group(log, settings.path(EVENT_LOG))
-
-    stored = spark.read.schema(log.schema).parquet(settings.path(EVENT_LOG))
+    buckets = settings.log_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables.write_log(log, settings.path(EVENT_LOG), buckets, hot_rows=settings.hot_rows)
+    stored = tables.read_log(spark, settings.path(EVENT_LOG), log.schema, buckets)
     steps = eventlog.successors(stored, hot_rows=settings.hot_rows)
     tables.write_by_group(tables.one_file(eventlog.flow_table(steps)), settings.path(FLOW))
     flow = spark.read.parquet(settings.path(FLOW))
@@ -110,6 +119,12 @@ def run_discovery(spark: SparkSession, settings: AnalysisSettings) -> None:
     )
 
 
+def _shown(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Performance matrices as they are shown: minutes, null where there is no time to speak of."""
+    matrix = K.adjacency(groups, edges, "performance")
+    return matrix.withColumn("value", S.minutes(S.visible(F.col("value"))))
+
+
 def run_comparison(spark: SparkSession, settings: AnalysisSettings) -> DataFrame:
     """All comparison tables over the five archetypes; returns the identikit."""
     ensure_utc(spark)
@@ -118,7 +133,13 @@ def run_comparison(spark: SparkSession, settings: AnalysisSettings) -> DataFrame
     for metric in K.ABSENT:
         matrix = K.adjacency(groups, edges, metric)
         tables.write_matrices(K.wide_matrix(matrix), settings.path(f"adjacency_{metric}"))
+        scaled = K.wide_matrix(K.normalised(matrix))
+        tables.write_matrices(scaled, settings.path(f"adjacency_{metric}_normalised"))
+    tables.write_matrices(K.wide_matrix(_shown(groups, edges)), settings.path(DISPLAY))
     profile = K.identikit(nodes, edges)
+    tables.write_report(K.ratio_to_max(profile), settings.path(PROFILE), ["archetype"])
+    tables.write_report(K.activity_skeleton(nodes), settings.path(SKELETON), ["activity"])
+    tables.write_report(K.top_activities(nodes), settings.path(TOP_ACTIVITIES), ["activity", "archetype"])
     tables.write_report(_titled(profile, _IDENTIKIT_TITLES), settings.path(IDENTIKIT))
     tables.write_report(nodes.select("archetype", "activity", "occurrences"), settings.path(COUNTS))
 

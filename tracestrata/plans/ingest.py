@@ -324,6 +324,11 @@ def ingest_range(
     return outcome
 
 
+def range_totals(spark: SparkSession, store: Store, start: str, end: str) -> DataFrame:
+    """One row: events parsed, distilled and bad in the processed hours from `start` to `end`."""
+    return ledger.totals(ledger.read(spark, store), start, end)
+
+
 def dataset_info(spark: SparkSession, store: Store) -> DataFrame:
     """One row: path, size, and coverage (null while no hour is processed)."""
     done = ledger.read(spark, store).where(F.col("status") == V.PROCESSED)

@@ -62,6 +62,8 @@ class AnalysisSettings:
     quantile_method: str = "exact"
     miner: MinerSettings = field(default_factory=MinerSettings)
     hot_rows: int = HOT_KEY_ROWS
+    # Buckets of the stored event log; as many as the session's shuffle partitions if not given.
+    log_buckets: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.output}/{name}"

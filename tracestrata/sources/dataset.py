@@ -49,6 +49,11 @@ def read_events(
     return _conform(stored)
 
 
+def live_rows(spark: SparkSession, base: str, seen: snapshots.Snapshot | None) -> DataFrame:
+    """The stored rows of a dataset as they lie, through its snapshot if it has one."""
+    return spark.read.parquet(base) if seen is None else _live(spark, base, seen, None)
+
+
 def day_of_folder(folder: str) -> date:
     """The day of a data folder of the dataset."""
     parts = dict(part.split("=", 1) for part in folder.split("/") if "=" in part)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracestrata import contracts as C
 from tracestrata.errors import ContractError, DataPreparationError, MissingDataError
+from tracestrata.operators import skew
 from tracestrata.schemas import MODEL_EDGES, MODEL_NODES
+from tracestrata.settings import HOT_KEY_ROWS
 from tracestrata.sources import files
 
 MODEL_TYPES = ("frequency", "performance")
@@ -66,6 +70,64 @@ def write_by_group(df: DataFrame, path: str, by: str = "archetype") -> None:
     )
 
 
+def _table_name(path: str) -> str:
+    return f"tracestrata_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def _declare(spark: SparkSession, path: str, columns: str, by: str, key: str, order: Sequence[str], buckets: int) -> str:
+    """A table of this session over the files at `path`, bucketed by `key`."""
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({by}) "
+        f"CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return name
+
+
+def write_log(
+    log: DataFrame, path: str, buckets: int, by: str = "archetype", key: str = "case_id",
+    order: Sequence[str] = ("timestamp", "event_seq"), hot_rows: int = HOT_KEY_ROWS,
+) -> None:
+    """An event log with one folder per group, in buckets of cases sorted by case and time.
+
+    A bucket is written by one task into one file a group, so that it is read back
+    without a shuffle; cases of `hot_rows` events and more are dealt over several tasks.
+    """
+    spark = log.sparkSession
+    files.remove(spark, [path])
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
+    hot = skew.hot_keys(log, [key], hot_rows)
+    known = spark.createDataFrame([(h,) for h in hot], "_hot long")
+    marked = log.join(F.broadcast(known), skew.key_hash([key]) == F.col("_hot"), "left") if hot else log.withColumn("_hot", F.lit(None).cast("long"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*order), F.lit(_HOT_PARTS))).otherwise(F.lit(0))
+    dealt = marked.withColumn("_salt", salt).repartition(buckets, bucket, "_salt").drop("_hot", "_salt")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema if f.name != by)
+    kind = log.schema[by].dataType.simpleString()
+    name = _declare(spark, path, f"{columns}, {by} {kind}", by, key, [key, *order], buckets)
+    kept = [f.name for f in log.schema if f.name != by]
+    (
+        dealt.select(*kept, by).write.mode("append").format("parquet").option("compression", "zstd")
+        .partitionBy(by).bucketBy(buckets, key).sortBy(key, *order).saveAsTable(name)
+    )
+
+
+def read_log(
+    spark: SparkSession, path: str, schema: StructType, buckets: int, by: str = "archetype", key: str = "case_id",
+    order: Sequence[str] = ("timestamp", "event_seq"),
+) -> DataFrame:
+    """A log as `write_log` left it; what groups it by case needs no shuffle."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != by)
+    kind = schema[by].dataType.simpleString()
+    name = _declare(spark, path, f"{columns}, {by} {kind}", by, key, [key, *order], buckets)
+    spark.sql(f"MSCK REPAIR TABLE {name}")  # finds the groups' folders
+    return spark.table(name)
+
+
+# Tasks that write a hot case.
+_HOT_PARTS = 32
+
+
 def write_matrices(matrix: DataFrame, path: str, by: str = "archetype") -> None:
     """Wide matrices as CSV, one folder and one file per group."""
     (
