@@ -385,9 +385,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
         _parse(length), "key long, phrase long, h long, h2 long, place long"
     )
     again = F.col("place").bitwiseAND(1)
-    shared = parse.groupBy("key").agg((F.count("*") + F.max(again)).alias("n")).where("n > 1").select("key")
+    # Stored, as is all that is joined by key below: joins then shuffle plain rows on both
+    # sides, and Spark can split a key that has most of them.
+    shared = materialize(
+        parse.groupBy("key").agg((F.count("*") + F.max(again)).alias("n")).where("n > 1").select("key")
+    )
     found = materialize(parse.join(shared, "key"))
-    # Stored, so that its joins by key shuffle plain rows, which Spark can split where a key has most of them.
     dictionary = materialize(
         found.groupBy("key", "phrase").agg(
             (F.count("*") + F.max(again) > 1).alias("settled"), F.first("h").alias("h"), F.first("h2").alias("h2"),
@@ -399,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
     lo, span = F.shiftright("place", 17), F.shiftright("place", 1).bitwiseAND(255)
     spans = found.join(whole, ["key", "phrase"]).select("h", "h2", lo.alias("begin"), (lo + span + length).alias("end"))
     # Phrases that occur once, of keys with several: their bytes tell.
-    several = (
+    several = materialize(
         dictionary.groupBy("key").agg(F.count("*").alias("phrases"), F.count_if(~F.col("settled")).alias("single"))
         .where("phrases > 1 and single > 0").select("key", (F.col("phrases") > crowded).alias("crowd"))
     )
