@@ -17,7 +17,7 @@ def _state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node of `links` (a, b).
 
     Alternates large-star and small-star rounds until no link changes; then
@@ -30,7 +30,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .where("a <> b").distinct()
     )
     before = _state(links)
-    for _ in range(max_rounds if before[0] else 0):
+    # Every round that changes a link brings some closer to the smallest, so this ends.
+    while before[0]:
         tasks = tasks_for(2 * before[0])
         links = links.coalesce(tasks)
         both = links.union(links.select("b", "a"))

@@ -14,8 +14,10 @@ BLANKS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-# An Arrow batch is worked on in slices of about this much text.
-SLICE_BYTES = 4 << 20
+# An Arrow batch is worked on in slices of about this much text, and letters are hashed
+# in pieces, each of which takes some forty times its size.
+SLICE_BYTES = 1 << 20
+PIECE = 1 << 18
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,9 +45,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def seeds(n: int, stream: int = 0) -> np.ndarray:
-    """`n` fixed odd 64-bit numbers; the first ones do not depend on `n`."""
-    steps = np.arange(1, n + 1, dtype=np.uint64) + np.uint64(stream << 40)
+def seeds(n: int, stream: int = 0, first: int = 0) -> np.ndarray:
+    """`n` fixed odd 64-bit numbers, from the `first` on; they do not depend on `n`."""
+    steps = np.arange(first + 1, first + n + 1, dtype=np.uint64) + np.uint64(stream << 40)
     return mix(steps * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -100,15 +102,33 @@ class Words:
         self.hash = self._hash(inside)
 
     def _hash(self, inside: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
         size = self.stop - self.start
         ends = np.cumsum(size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        letters = self.data[inside].astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(letters * seeds(int(size.max()))[place], ends - size)
+        letters = self.data[inside]
+        sums = np.zeros(len(size), np.uint64)
+        first, at = 0, 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(ends, at + PIECE, "right")))
+            end = int(ends[last - 1])
+            if end - at > PIECE:  # one long word
+                sums[first] = self._long(letters[at:end])
+            else:
+                own = size[first:last]
+                begin = np.cumsum(own) - own
+                place = np.arange(end - at) - np.repeat(begin, own)
+                values = letters[at:end].astype(np.uint64) + np.uint64(1)
+                sums[first:last] = np.add.reduceat(values * seeds(int(own.max()))[place], begin)
+            first, at = last, end
         return mix(sums ^ size.astype(np.uint64))
 
+    @staticmethod
+    def _long(letters: np.ndarray) -> np.uint64:
+        total = np.uint64(0)
+        for at in range(0, len(letters), PIECE):
+            values = letters[at : at + PIECE].astype(np.uint64) + np.uint64(1)
+            total += (values * seeds(len(values), first=at)).sum(dtype=np.uint64)
+        return total
+
     def grams(self, size: int) -> np.ndarray:
         """Hash of the `size` words from each word on, across row ends as well."""
         n = max(0, len(self.hash) - size + 1)

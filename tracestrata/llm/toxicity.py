@@ -252,9 +252,9 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 def _stems(training: DataFrame) -> dict[str, float]:
     """Stems (and whole words, marked by a length of their own) that toxic documents use, with log-odds."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}{4,})")))
-    # Copies of a text mostly share their smallest word hash and count as one document. It is
-    # made below the explode, which would otherwise repeat it for every word of the text.
-    kind = F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("kind")
+    # Texts with the same words count as one document: copies must not lend a word support. Made
+    # below the explode, which would otherwise repeat it for every word of the text.
+    kind = F.xxhash64(F.sort_array("words")).alias("kind")
     rows = training.select("toxic", found.alias("words")).select("toxic", "words", kind)
     words = rows.select("toxic", "kind", F.explode("words").alias("word"))
     forms = F.array(*[F.substring("word", 1, n) for n in STEM_SIZES])
@@ -346,14 +346,18 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose score is below one half; nothing is shuffled."""
+    """The rows of `docs`, with all their columns, whose score is below one half; nothing is shuffled.
+
+    Only the text goes to Python and only the verdict comes back.
+    """
     matcher, weights = fit(docs, labels, sample)
 
-    def task(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                made = np.array([matcher.features(t or "") for t in part.column("text").to_pylist()])
-                keep = shaped(made) @ weights < 0
-                yield part.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
+            made = np.array([matcher.features(t or "") for t in part.column("text").to_pylist()])
+            out.append(pa.array(shaped(made) @ weights < 0))
+        return pa.concat_arrays(out) if out else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.where(clean(F.col("text").cast("string")))
