@@ -14,9 +14,23 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """`docs` without the rejected ids; rows without an id stay."""
-    return docs.join(sized(materialize(rejected.select("doc_id").distinct())), "doc_id", "left_anti")
+# Rows without an id are given one by their text, from here on; ids of documents lie below.
+_UNNAMED = 1 << 62
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a key column: the id, or for a row without one a number made from its text."""
+    key = "_key"
+    while key in docs.columns:
+        key = "_" + key
+    made = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(_UNNAMED - 1) + F.lit(_UNNAMED)
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)), key
+
+
+def _without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """`docs` without the rejected keys, and without the key."""
+    gone = materialize(rejected.select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(sized(gone), key, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +39,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return _without(docs, near_duplicates.near_duplicates(docs).where("not kept"))
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Rows without an id come last in this order, and of equal ones one stays.
+    """
+    keyed, key = _keyed(docs)
+    found = near_duplicates.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    kept = _without(keyed, key, found.where("not kept"))
+    unnamed = kept.where(F.col("doc_id").isNull()).dropDuplicates([key])
+    return kept.where(F.col("doc_id").isNotNull()).union(unnamed.select(kept.columns)).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Documents with a window of a benchmark item go, those without an id as well."""
+    keyed, key = _keyed(docs)
+    texts = keyed.select(F.col(key).alias("doc_id"), "text")
+    found = decontaminate.decontaminate(texts, _table(spark, sf_dir, "benchmark"))
+    return _without(keyed, key, found.where("contaminated")).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
