@@ -1,18 +1,23 @@
 """Hierarchical multi-length packing of token documents.
 
-Method. Tiers are context sizes, each a power of two. A document is cut into
-full windows of the largest tier; what remains is routed to the smallest tier
-that holds it. Each tier is packed: a piece as long as its tier is a window
-without padding. The other pieces go to long windows, longest first; the gap a
-long window has left is filled from the shorter tiers, cutting the piece that
-crosses the end. The last open window is cut into windows of the tiers, so only
-fewer tokens than the smallest tier are ever padded per task. Windows are dealt
-to step groups of equal size, balanced by attention cost (sum of squared piece
-lengths).
+Method. Tiers are context sizes, each a power of two. A document is cut into full
+windows of the largest tier; what remains is routed to the smallest tier that holds
+it. Then each tier is packed, the longest first: its longest piece opens a window, and
+the gap is filled from the shorter tiers by best fit, that is by the longest piece that
+still goes in; if all are longer, one is cut and its rest is routed again. So a window
+of any tier is full when it is closed. Windows that stay open wait for the next block;
+at the end of a task they are put together and cut into windows of the tiers, so at
+most one window per task, with fewer tokens than the smallest tier, is padded.
+
+Step groups hold windows of one tier and the same number of tokens in all tiers: `group`
+windows of the largest, twice as many of half its size. Within a block they are balanced
+by attention cost (sum of squared piece lengths).
 
 A task packs the documents of its own partition, a bounded block of tokens at a
-time, and carries the open window over: no shuffle, and a lost task is redone
-alone. Padding is therefore less than the smallest tier per input partition.
+time: no shuffle, and a lost task is redone alone.
+
+Token ids are those of the tokenizer file with special strings read as text; they are
+made from the ranks file of the same vocabulary, as its package advises.
 
 Defined results. Null text is empty and has the end token alone. Repeated rows
 are separate documents. Null ids stay null. An empty table gives no pieces.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,79 +76,98 @@ class Encoder:
 
 
 class Packer:
-    """Packs pieces (row, start, length) of one task into windows."""
+    """Packs pieces (document, start, length) of one task into windows (tier, pieces)."""
 
     def __init__(self, tiers: tuple[int, ...], group: int):
         self.tiers, self.size, self.group = tuple(sorted(tiers, reverse=True)), max(tiers), group
-        self.open: list[tuple] = []
-        self.filled = 0
-
-    def route(self, documents: list[tuple]) -> tuple[list[list[tuple]], list[tuple]]:
-        """(windows that are full by themselves, pieces left, by tier from the longest)."""
-        windows, rest = [], []
+        # Pieces of each tier that wait, the shortest first: (length, number, document, start).
+        self.waiting: dict[int, list[tuple]] = {tier: [] for tier in self.tiers}
+        self.open: dict[int, tuple[list[tuple], int]] = {}
+        self.routed = 0
+
+    def route(self, document: tuple, start: int, length: int) -> None:
+        """To the smallest tier that holds the piece."""
+        tier = min(t for t in self.tiers if t >= length)
+        self.routed += 1
+        insort(self.waiting[tier], (length, self.routed, document, start), key=lambda piece: piece[:2])
+
+    def pack(self, documents: list[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+        """Windows that are full: (document, total, ...) cut, routed and packed tier by tier."""
         for document in documents:
             total = document[1]
             full = total // self.size * self.size
-            windows += [[(document, at, self.size)] for at in range(0, full, self.size)]
-            if left := total - full:
-                if left in self.tiers:
-                    windows.append([(document, full, left)])
-                else:
-                    rest.append((document, full, left))
-        rest.sort(key=lambda piece: -piece[2])  # stable: ties in order of arrival
-        return windows, rest
-
-    def fill(self, rest: list[tuple]) -> Iterator[list[tuple]]:
-        """Full long windows: the longest pieces open them, the shortest fill the gaps."""
-        low, high = 0, len(rest) - 1
-        while low <= high:
-            gap = self.size - self.filled
-            longest = rest[low]
-            if longest[2] <= gap:
-                self._add(longest)
-                low += 1
-            else:
-                document, at, length = rest[high]
-                taken = min(gap, length)
-                self._add((document, at, taken))
-                if taken == length:
-                    high -= 1
-                else:
-                    rest[high] = (document, at + taken, length - taken)
-            if self.filled == self.size:
-                yield self.open
-                self.open, self.filled = [], 0
-
-    def _add(self, piece: tuple) -> None:
-        self.open.append(piece)
-        self.filled += piece[2]
-
-    def close(self) -> Iterator[list[tuple]]:
-        """The open window as windows of the tiers; fewer tokens than the smallest stay over."""
-        for tier in (*self.tiers, None):
-            while self.open and (tier is None or self.filled >= tier):
-                window, room = [], tier or self.filled
-                while room:
-                    document, at, length = self.open.pop(0)
-                    taken = min(room, length)
-                    window.append((document, at, taken))
-                    if taken < length:
-                        self.open.insert(0, (document, at + taken, length - taken))
-                    room -= taken
-                    self.filled -= taken
-                yield window
-
-    def groups(self, windows: list[list[tuple]]) -> list[int]:
-        """Step group of each window: the costliest first to the cheapest group with room."""
-        cost = [sum(length**2 for _, _, length in window) for window in windows]
-        n = -(-len(windows) // self.group)
-        heap, chosen, room = [(0, g) for g in range(n)], [0] * len(windows), [self.group] * n
-        for i in sorted(range(len(windows)), key=lambda i: -cost[i]):
-            total, g = heapq.heappop(heap)
-            chosen[i] = g
-            room[g] -= 1
-            if room[g]:
-                heapq.heappush(heap, (total + cost[i], g))
+            for at in range(0, full, self.size):
+                yield self.size, [(document, at, self.size)]
+            if total > full:
+                self.route(document, full, total - full)
+        for tier in self.tiers:
+            while (window := self._fill(tier)) is not None:
+                yield tier, window
+
+    def _fill(self, tier: int) -> list[tuple] | None:
+        """The next full window of a tier; none if there is not enough, and then it stays open."""
+        pieces, filled = self.open.pop(tier, ([], 0))
+        if not pieces and self.waiting[tier]:
+            length, _, document, start = self.waiting[tier].pop()
+            pieces, filled = [(document, start, length)], length
+        while 0 < filled < tier and (piece := self._fitting(tier - filled, tier)):
+            pieces.append(piece)
+            filled += piece[2]
+        if filled == tier:
+            return pieces
+        if pieces:
+            self.open[tier] = pieces, filled
+        return None
+
+    def _fitting(self, gap: int, tier: int) -> tuple | None:
+        """The longest waiting piece that a gap holds, or else the beginning of one of the shortest."""
+        shorter = [t for t in self.tiers if t <= tier]
+        for t in shorter:
+            if (at := bisect_right(self.waiting[t], gap, key=lambda piece: piece[0])):
+                length, _, document, start = self.waiting[t].pop(at - 1)
+                return document, start, length
+        for t in reversed(shorter):
+            if self.waiting[t]:
+                length, _, document, start = self.waiting[t].pop(0)
+                self.route(document, start + gap, length - gap)
+                return document, start, gap
+        return None
+
+    def close(self) -> Iterator[tuple[int, list[tuple]]]:
+        """What stays open, as windows of the tiers; the last may hold less than the smallest."""
+        left = [piece for tier in self.tiers for piece in self.open.pop(tier, ([], 0))[0]][::-1]
+        held = sum(length for _, _, length in left)
+        while held:
+            tier = next((t for t in self.tiers if t <= held), None)
+            room = tier or held
+            window, held = [], held - room
+            while room:
+                document, at, length = left.pop()
+                taken = min(room, length)
+                window.append((document, at, taken))
+                if taken < length:
+                    left.append((document, at + taken, length - taken))
+                room -= taken
+            yield tier or self.size, window
+
+    def groups(self, windows: list[tuple[int, list[tuple]]]) -> list[int]:
+        """Step group of each window: by tier, the costliest first to the cheapest group with room."""
+        chosen, first = [0] * len(windows), 0
+        for tier in self.tiers:
+            own = [i for i, (t, _) in enumerate(windows) if t == tier]
+            cost = {i: sum(length**2 for _, _, length in windows[i][1]) for i in own}
+            size = self.group * self.size // tier
+            n = -(-len(own) // size)
+            # Groups of a block differ by one window at most.
+            room = [len(own) // n + (g < len(own) % n) for g in range(n)]
+            heap = [(0, g) for g in range(n)]
+            for i in sorted(own, key=lambda i: -cost[i]):
+                total, g = heapq.heappop(heap)
+                chosen[i] = first + g
+                room[g] -= 1
+                if room[g]:
+                    heapq.heappush(heap, (total + cost[i], g))
+            first += n
         return chosen
 
 
@@ -172,7 +197,7 @@ def pack(
             nonlocal given, given_groups
             out: list[list] = [[] for _ in _ARROW]
             chosen = packer.groups(windows)
-            for window, g in zip(windows, chosen):
+            for (_, window), g in zip(windows, chosen):
                 used = sum(length for _, _, length in window)
                 full = used if used & (used - 1) == 0 else packer.size
                 at = 0
@@ -190,8 +215,7 @@ def pack(
 
         def packed(last=False):
             nonlocal documents, held
-            windows, rest = packer.route(documents)
-            windows += packer.fill(rest)
+            windows = list(packer.pack(documents))
             if last:
                 windows += packer.close()
             documents, held = [], 0
