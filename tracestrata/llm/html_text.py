@@ -11,7 +11,8 @@ Labelled pages are those that mark their main text themselves (an article or
 main element): its blocks are main text, except menus, forms, adverts, comments
 and the like inside; the others are not. The model also sees each page with
 these ancestors hidden, so that it can label pages without such marks. Training
-uses a bounded sample of pages (`sample`, those with the smallest hash).
+uses a bounded sample of pages (`sample`, those with the smallest hash), long ones in
+stretches of `STRETCH` blocks.
 
 Scripts, styles, templates and comments are markup and never become blocks.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from tracestrata.llm.text import slices
 
 SAMPLE = 400
+STRETCH = 400
 
 # HTML element names by what they do to a block.
 SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "select", "textarea")
@@ -65,7 +68,7 @@ GOOD_NAMES = ("article", "content", "main", "post", "entry", "story", "body", "t
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]+|<)",
     re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -78,7 +81,7 @@ _BAD, _GOOD, _BOILER = frozenset(BAD_NAMES), frozenset(GOOD_NAMES), frozenset(BO
 
 
 class Block:
-    """A leaf block: text, ancestor tags, named parts of their attributes, share of linked text."""
+    """A leaf block: text, ancestor tags, telling parts of their attributes, share of linked text."""
 
     __slots__ = ("text", "tags", "names", "linked")
 
@@ -86,44 +89,102 @@ class Block:
         self.text, self.tags, self.names, self.linked = text, tags, names, linked
 
 
+class _Open:
+    """The elements that are open, with what is true of all of them; each step takes the same time at any depth."""
+
+    def __init__(self):
+        # (tag, tags down to here, telling names down to here)
+        self.stack: list[tuple[str, frozenset, frozenset]] = []
+        self.count: dict[str, int] = {}
+        self.block_at: list[int] = []
+
+    def has(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def tags(self) -> frozenset:
+        return self.stack[-1][1] if self.stack else frozenset()
+
+    def names(self) -> frozenset:
+        return self.stack[-1][2] if self.stack else frozenset()
+
+    def push(self, tag: str, names: frozenset) -> None:
+        tags, known = self.tags(), self.names()
+        # Of all tags and names just those that a feature can ask for, so both sets are bounded.
+        tags = tags | {tag} if tag in _KNOWN and tag not in tags else tags
+        self.stack.append((tag, tags, known if names <= known else known | names))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in _BLOCK:
+            self.block_at.append(len(self.stack) - 1)
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.count[tag] -= 1
+        if self.block_at and self.block_at[-1] == len(self.stack):
+            self.block_at.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Up to and with the innermost `tag`, if there is one."""
+        if self.has(tag):
+            while self.pop() != tag:
+                pass
+
+
+_TELLING = frozenset(BAD_NAMES) | frozenset(GOOD_NAMES)
+_KNOWN = frozenset(BLOCKS) | frozenset(("a", "b", "head", "label"))
+_DECLARATION = re.compile(r"<[!?]")
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space collapsed, references decoded."""
+    """The leaf blocks of a page in order, white space collapsed, references decoded; in linear time."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    inside = _Open()
     parts: list[str] = []
     linked = 0
     skipping = ""
+    last_end = page.rfind(">")  # behind it there is no markup any more
+    title_end: re.Match | None = None
+    no_title_end = False
 
     def flush():
         nonlocal parts, linked
-        text = _BLANK.sub(" ", entities.unescape("".join(parts))).strip()
-        if text:
-            tags = [t for t, _ in stack]
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Block(text, frozenset(tags), names, min(1.0, linked / len(text))))
+        if parts:
+            text = _BLANK.sub(" ", entities.unescape("".join(parts))).strip()
+            if text:
+                out.append(Block(text, inside.tags(), inside.names(), min(1.0, linked / len(text))))
         parts, linked = [], 0
 
     def leave_head():
         flush()
-        del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]
+        while inside.has("head"):
+            inside.pop()
 
     at, end = 0, len(page)
     while at < end:
         if skipping:  # its content is no markup
-            found = re.compile(rf"</{skipping}[\s/>]", re.I).search(page, at)
+            found = _raw_end(skipping).search(page, at)
             if not found:
                 break
             at = page.find(">", found.start()) + 1 or end
             skipping = ""
             continue
-        token = _TOKEN.match(page, at)
-        at = token.end()
-        closing, tag, attributes, closing2, tag2, attributes2, text = token.groups()
+        if at > last_end and not _DECLARATION.match(page, at):
+            found = _DECLARATION.search(page, at)
+            begin, at = at, found.start() if found else end
+            closing = tag = attributes = closing2 = tag2 = attributes2 = None
+            text = page[begin:at]
+        else:
+            token = _TOKEN.match(page, at)
+            at = token.end()
+            closing, tag, attributes, closing2, tag2, attributes2, text = token.groups()
         if text is not None:
-            if stack and stack[-1][0] == "head" and text.strip():
+            if inside.top() == "head" and text.strip():
                 leave_head()
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if inside.has("a"):
                 linked += len(text.strip())
             continue
         if not (tag := (tag or tag2 or "").lower()):
@@ -134,38 +195,45 @@ def blocks(page: str) -> list[Block]:
         elif closing:
             if tag in _BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            inside.close(tag)
         else:
-            if tag not in _HEAD and any(t == "head" for t, _ in stack):
+            if tag not in _HEAD and inside.has("head"):
                 leave_head()
-            if stack and stack[-1][0] == "title":  # never closed
+            if inside.top() == "title":  # never closed
                 flush()
-                stack.pop()
+                inside.pop()
             if tag in _BLOCK:
                 flush()
-                while stack and tag in IMPLIED.get(stack[-1][0], ()):
-                    stack.pop()
-                for k in range(len(stack) - 1, -1, -1):  # a paragraph that inline tags are still open in
-                    if stack[k][0] in _BLOCK:
-                        if stack[k][0] == "p" and tag in IMPLIED["p"]:
-                            del stack[k:]
-                        break
+                while inside.stack and tag in IMPLIED.get(inside.top(), ()):
+                    inside.pop()
+                # A paragraph that inline tags are still open in.
+                if inside.block_at and inside.stack[inside.block_at[-1]][0] == "p" and tag in IMPLIED["p"]:
+                    inside.close("p")
             if tag in _SKIPPED and tag != "head":
                 if not attributes.rstrip().endswith("/"):
                     skipping = tag
-            elif tag == "title" and (found := _TITLE_END.search(page, at)) and found[1].lower() == "/title":
-                skipping = tag
+            elif tag == "title" and not no_title_end:
+                if title_end is None or title_end.start() < at:
+                    title_end = _TITLE_END.search(page, at)
+                    no_title_end = title_end is None
+                if title_end and title_end[1].lower() == "/title":
+                    skipping = tag
+                else:
+                    inside.push(tag, frozenset())
             elif tag not in _VOID and not attributes.rstrip().endswith("/"):
                 words = {
                     w for groups in _NAMES.findall(attributes) for value in groups for w in _PART.findall(value.lower())
                 } if attributes else ()
-                stack.append((tag, frozenset(words)))
+                inside.push(tag, _TELLING.intersection(words))
     flush()
     return [b for b in out if "head" not in b.tags and "title" not in b.tags]
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}[\s/>]", re.I)
+
+
 _TAGS = (
     "nav", "header", "footer", "aside", "form", "ul", "li", "a", "p", "h1", "h2", "h3", "table", "td",
     "section", "div", "blockquote", "pre", "figure", "figcaption", "button", "label", "b",
@@ -296,11 +364,12 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Chain:
                     )
 
     rows = chosen.mapInArrow(task, "x array<double>, y array<int>").collect()  # `sample` pages, twice
-    seen = sorted((tuple(r["y"]), tuple(r["x"])) for r in rows if len(r["y"]) <= 400)
+    seen = sorted((tuple(r["y"]), tuple(r["x"])) for r in rows)
     start = Chain.start()
     if not seen:
         return start
-    return start.fit([(np.array(x).reshape(-1, FEATURES), np.array(y)) for y, x in seen])
+    whole = [(np.array(x).reshape(-1, FEATURES), np.array(y)) for y, x in seen]
+    return start.fit([(x[k : k + STRETCH], y[k : k + STRETCH]) for x, y in whole for k in range(0, len(y), STRETCH)])
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
