@@ -179,3 +179,36 @@ def test_pipeline(spark):
     assert docs.where("text rlike '[0-9a-f]{32}'").count() == 0
     packed = {r["doc_id"] for r in corpus_pipeline.pack_tokens(spark, docs, FOLDER).collect()}
     assert packed == ids[-1]
+
+
+def test_false_discovery_control_is_the_step_up_procedure(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"v{i}", ("hex", "base62")[i % 2], int(i % 3), float(p)) for i, p in enumerate(np.concatenate([rng.uniform(size=300), rng.uniform(size=60) * 1e-4]))]
+    tested = spark.createDataFrame(rows, "value string, encoding string, length_class int, p double")
+    for rate in (0.001, 0.05, 0.5):
+        got = {r["value"] for r in secrets.rejected(tested, "p", rate).where("rejected").collect()}
+        plain, slack = set(), set()
+        for group in {r[1:3] for r in rows}:
+            own = sorted((p, v) for v, e, c, p in rows if (e, c) == group)
+            for out, grown in ((plain, math.exp(1 / secrets.BINS_PER_UNIT)), (slack, 1.0)):
+                last = max((k for k, (p, _) in enumerate(own, 1) if p * grown <= rate * k / len(own)), default=0)
+                out |= {v for _, v in own[:last]}
+        assert plain <= got <= slack  # bins round p-values up by a tenth of a unit at most
+
+
+def test_spans_are_swept_like_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for row in range(60):
+        for _ in range(rng.integers(0, 12)):
+            start = int(rng.integers(0, 60))
+            kind = ("random", "random", "hex", "assign")[rng.integers(0, 4)]
+            rows.append((row, kind, start, start + int(rng.integers(1, 15))))
+    got = {tuple(r) for r in secrets._apart(spark.createDataFrame(rows, "row long, kind string, start long, stop long")).collect()}
+    expected = set()
+    for row, kind, a, b in rows:
+        own = [r for r in rows if r[0] == row]
+        free = [(x, y) for _, k, x, y in own if k == "random" and not any(f[1] != "random" and f[2] < y and x < f[3] for f in own)]
+        if kind == "random" and (a, b) in free and not any(x <= a and b <= y and (x, y) != (a, b) for x, y in free):
+            expected.add((row, kind, a, b))
+    assert got == expected

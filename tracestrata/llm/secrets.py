@@ -2,16 +2,18 @@
 
 Method. Long runs of identifier characters are candidates, and so are their long
 parts between '/', '-', '_' and '+'; '=' ends a run unless it is closing padding.
-The encoding is inferred as the smallest alphabet that holds all characters. A candidate must
-look random: chi-squared uniformity over the alphabet, runs above and below the
-alphabet's middle, and serial correlation of neighbours must not reject
-randomness at `alpha`. And it must not look like ordinary text: under text the
-kind of character (letter, digit, new capital) rarely changes and letters
-collide often; the smaller of both tests' p-values, doubled, goes to the
-Benjamini-Hochberg procedure at rate `rate`, separately for each encoding and
-length class, so that short candidates pay for their number among themselves.
-p-values are counted in bins of a bounded number and rounded up, so the
-procedure needs no global sort and errs on the safe side.
+The encoding is inferred as the smallest alphabet that holds all characters. The battery asks
+whether a candidate is random: chi-squared uniformity over the alphabet, runs above
+and below the alphabet's middle, and serial correlation of neighbours; its p-value is
+the smallest of the three, times three. The Benjamini-Hochberg procedure, separately for
+each encoding and length class, turns the battery's p-values into the candidates that
+are not random, of which at most the share `alpha` are random after all. The same
+procedure tells from the other side: under ordinary text the kind of character
+(letter, digit, new capital) rarely changes and letters collide often; the smaller of
+those p-values, doubled, gives the candidates that are no text, at rate `rate`. A secret
+is no text and has not been found to be not random. So short candidates, on which all
+these tests say little, pay for their number among themselves. p-values are counted in
+bins of a bounded number and rounded up, so the procedures need no global sort.
 
 Native: built-in expressions only. Texts are read once and not shuffled; later
 steps carry lengths and candidates. Defined results. Null text is empty. Every
@@ -212,9 +214,12 @@ def battery(candidates: DataFrame) -> DataFrame:
     ).drop("middle")
 
 
-def discovered(tested: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> DataFrame:
-    """The values that look random and not like text."""
-    log_p = F.greatest(F.log(F.greatest("p_text", F.lit(1e-300))), F.lit(float(-LOWEST)))
+def rejected(tested: DataFrame, p: str, rate: float) -> DataFrame:
+    """`tested` with a flag `rejected`: the Benjamini-Hochberg procedure on the p-values `p` at `rate`.
+
+    One procedure for each encoding and length class.
+    """
+    log_p = F.greatest(F.log(F.greatest(p, F.lit(1e-300))), F.lit(float(-LOWEST)))
     binned = tested.withColumn("bin", F.ceil(log_p * BINS_PER_UNIT).cast("int"))
     group = ["encoding", "length_class"]
     # At most 601 bins for each of some sixty groups, whatever the number of values.
@@ -226,8 +231,37 @@ def discovered(tested: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> D
     cut = ranked.where(
         F.exp(F.col("bin") / BINS_PER_UNIT) <= rate * F.col("seen") / F.col("all")
     ).groupBy(*group).agg(F.max("bin").alias("cut"))
-    random = (F.col("p_uniform") >= alpha) & (F.col("p_runs") >= alpha) & (F.col("p_serial") >= alpha)
-    return binned.join(F.broadcast(cut), group).where(F.col("bin") <= F.col("cut")).where(random).select("value")
+    flag = F.coalesce(F.col("bin") <= F.col("cut"), F.lit(False))
+    return binned.join(F.broadcast(cut), group, "left").withColumn("rejected", flag).drop("bin", "cut")
+
+
+def discovered(tested: DataFrame, alpha: float = ALPHA, rate: float = RATE) -> DataFrame:
+    """The values that are no text and have not been found to be not random."""
+    p_random = F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))
+    judged = rejected(tested.withColumn("p_random", p_random), "p_random", alpha)
+    judged = rejected(judged.withColumnRenamed("rejected", "not_random"), "p_text", rate)
+    return judged.where("rejected and not not_random").select("value")
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """Random spans (row, start, stop) that no fixed span touches, and the longest of those that hold each other.
+
+    Two sweeps over the spans of a row in order, so a row of many spans takes no longer
+    than sorting them.
+    """
+    fixed = F.col("kind") != "random"
+    order = Window.partitionBy("row").orderBy("start", (~fixed).cast("int"))
+    reached = F.max(F.when(fixed, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    next_ = F.first(F.when(fixed, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    free = (
+        spans.select("row", "kind", "start", "stop", reached.alias("reached"), next_.alias("next"))
+        .where("kind = 'random'")
+        .where((F.coalesce("reached", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("stop")) >= F.col("stop")))
+        .select("row", "kind", "start", "stop").distinct()
+    )
+    longest = Window.partitionBy("row").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.max("stop").over(longest)
+    return free.withColumn("held", held).where(F.coalesce("held", F.lit(-1)) < F.col("stop")).drop("held")
 
 
 def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE, key: str = "doc_id") -> DataFrame:
@@ -238,20 +272,13 @@ def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE, key:
     random = materialize(discovered(tested, alpha, rate))
     drawn = spans.where("kind = 'random'").join(random, "value", "left_semi").select("row", "kind", "start", "stop")
     base = spans.where("kind <> 'random'").select("row", "kind", "start", "stop")
+    # A random span is new only where no pattern has found anything.
+    rows = drawn.select("row").distinct()
+    kept = base.union(_apart(drawn.union(base.join(rows, "row", "left_semi"))))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    lists = base.union(drawn).groupBy("row").agg(
+    listed = kept.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "stop", "kind"))).alias("spans")
     )
-    drawn_spans = F.array_distinct(F.filter("spans", lambda s: s["kind"] == "random"))
-    fixed = F.filter("spans", lambda s: s["kind"] != "random")
-    # A random span is new only where no pattern has found anything, and the longest of those that hold each other.
-    apart = F.filter(drawn_spans, lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-
-    def longest(found: Column) -> Column:
-        within = lambda s, b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]) & (b != s)
-        return F.filter(found, lambda s: ~F.exists(found, lambda b: within(s, b)))
-
-    listed = lists.select("row", F.sort_array(F.concat(fixed, let(apart, longest))).alias("spans"))
     none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")
     shaped = F.transform(
         "spans",
@@ -263,18 +290,22 @@ def find_secrets(docs: DataFrame, alpha: float = ALPHA, rate: float = RATE, key:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones together, replaced by a mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with every span (in order), overlapping ones together, replaced by a mark."""
+    # Each span with where the ones before it have reached: of three numbers a span, nothing of the text.
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at: bigint, start: bigint>>").alias("cuts"))
 
     def step(done: Column, s: Column) -> Column:
-        before = F.substr(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
+        cut = F.array(F.struct(done["at"].alias("at"), s["start"].alias("start")))
         return F.struct(
             F.greatest(done["at"], s["stop"]).alias("at"),
-            F.concat(done["out"], F.when(s["start"] >= done["at"], F.concat(before, F.lit(mark))).otherwise("")).alias("out"),
+            F.when(s["start"] >= done["at"], F.concat(done["cuts"], cut)).otherwise(done["cuts"]).alias("cuts"),
         )
 
     def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), F.length(text)))
+        pieces = F.transform(
+            done["cuts"], lambda c: F.substr(text, (c["at"] + 1).cast("int"), (c["start"] - c["at"]).cast("int"))
+        )
+        return F.concat(F.array_join(pieces, mark), F.lit(mark), F.substr(text, (done["at"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, text).otherwise(
         F.aggregate(spans, start, step, finish)
