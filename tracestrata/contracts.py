@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from tracestrata.errors import AnalyticsError, ContractError
 
+# Columns that stored tables and callers must provide.
 CORE_EVENTS = ("repo_id", "activity", "timestamp")
 CREATION_EVENTS = ("repo_id", "timestamp")
 METRIC_EVENTS = ("repo_id", "activity", "actor_login", "push_size", "actor_id")

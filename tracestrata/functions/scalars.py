@@ -28,12 +28,12 @@ def payload_name(activity: Column) -> Column:
 
 
 def parse_utc(text: str) -> datetime:
-    """ISO date or date-time, trailing Z accepted; naive values are UTC."""
+    """The instant of an ISO date or date-time; one without an offset is in UTC."""
     try:
-        parsed = datetime.fromisoformat(text.replace("Z", "+00:00"))
+        moment = datetime.fromisoformat(text)
     except ValueError as error:
         raise ContractError(f"not an ISO date: {text!r}") from error
-    return parsed if parsed.tzinfo else parsed.replace(tzinfo=timezone.utc)
+    return moment.astimezone(timezone.utc) if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
 
 
 def utc_timestamp(moment: datetime) -> Column:

@@ -13,7 +13,7 @@ from tracestrata.session import ensure_utc
 from tracestrata.settings import AnalysisSettings
 from tracestrata.sources import dataset, tables
 
-# Names of the result tables; users of earlier studies look for the reports under these titles.
+# Names under which the results of a study are looked for.
 REPOSITORIES = "analyzable_repositories.csv"
 METRICS = "metrics_raw.parquet"
 THRESHOLDS = "stratification_thresholds.json"
