@@ -205,3 +205,50 @@ def test_capital_letters_beyond_ascii():
     for text in ("CRÉTIN va.", "Quel CrÉtin.", "Ärger hier.", "ÄRGER", "¡Estúpido!", "«idiot» dit", "Ce n'est rien. “Idiot” ici."):
         assert matcher.features(text)[4] == 1, text
     assert matcher.features("Rien ici. Décrétine aussi.")[4] == 0
+
+
+def test_near_passages_against_plain(spark):
+    """Every window of every item at every place of every document."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    kinds = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(kinds) for _ in range(n))) for i, n in enumerate((3, 10, 12, 14, 25))]
+    texts = []
+    for i in range(80):
+        words = [rng.choice(kinds) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            passage = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(passage))
+                passage = passage[:at] + [rng.choice(["new", "x"])] + passage[at:] if rng.random() < 0.6 else passage[:at] + passage[at + 1 :] or ["x"]
+            words += passage
+        texts.append((i, " ".join(words)))
+    slack = decontaminate.SLACK
+
+    def cut(words):
+        return [words[k : k + 10] for k in range(max(1, len(words) - 9))] if words else []
+
+    split = {i: [w for w in re.split(r"[^0-9a-z]+", text) if w] for i, text in texts}
+    uses: dict = {}
+    for words in split.values():
+        for w in words:
+            uses[w] = uses.get(w, 0) + 1
+
+    def near(words, window):
+        """A start is where the rarest term puts it; every other term is within the slack of its place."""
+        if any(w not in uses for w in window):
+            return False
+        place = min(range(len(window)), key=lambda j: (uses[window[j]], j))
+        return any(
+            all(any(0 <= p - place + j + s < len(words) and words[p - place + j + s] == w for s in range(-slack, slack + 1)) for j, w in enumerate(window))
+            for p, word in enumerate(words) if word == window[place]
+        )
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.decontaminate(docs, items_of(spark, [(i, t, 1) for i, t in items]), slack=slack)
+    for r in found.collect():
+        words = split[r["doc_id"]]
+        assert r["near_items"] == sorted(str(i) for i, t in items if any(near(words, w) for w in cut(t.split())))
+        assert set(r["items"]) <= set(r["near_items"])

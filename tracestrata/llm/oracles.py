@@ -214,10 +214,83 @@ def _urls() -> str:
     """
 
 
+def _repair() -> str:
+    """The cheapest edits row by row: for each state the least (cost, audit), forward over a conversation."""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    user, assistant = "'user:'", "'assistant:'"
+    return f"""
+    WITH RECURSIVE bits(v, x, k) AS (
+        SELECT v, v::BIGINT, 0 FROM range(256) t(v) UNION ALL
+        SELECT v, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, k + 1 FROM bits WHERE k < 8
+    ), crc AS (
+        SELECT list(x ORDER BY v) AS t FROM bits WHERE k = 8
+    ), given AS (
+        SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+    ), hashed AS (
+        SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(
+                   list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda l: ord(l)::BIGINT)),
+                   lambda a, b: xor(a // 256, crc.t[(xor(a, b) % 256) + 1])
+               ), 4294967295) % 20 AS kind FROM given, crc
+    ), damaged AS (
+        SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+    ), seen AS (
+        SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS times, rtrim(text, {blanks}) AS shown,
+               substr(role, 1, 1) AS l, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed
+    ), told AS (
+        SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN times > 1 THEN 'duplicate'
+                       WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen
+    ), counts AS (
+        SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+               count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+               count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+               count(*) FILTER (WHERE before IS NOT NULL AND before || l NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM told GROUP BY c
+    ), ins(s, t, cost, audit, lines) AS (
+        VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 2, 'I', [{user}]), (0, 3, 4, 'II', [{user}, {assistant}]),
+               (1, 1, 0, '', []::VARCHAR[]), (1, 2, 2, 'I', [{user}]), (1, 3, 4, 'II', [{user}, {assistant}]),
+               (2, 2, 0, '', []::VARCHAR[]), (2, 3, 2, 'I', [{assistant}]),
+               (3, 3, 0, '', []::VARCHAR[]), (3, 2, 2, 'I', [{user}])
+    ), moves(s, e, l, t) AS (
+        VALUES (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3),
+               (0, 'R', NULL, 2), (1, 'R', NULL, 2), (2, 'R', NULL, 3), (3, 'R', NULL, 2),
+               (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2)
+    ), dp AS (
+        SELECT g.c, 0::BIGINT AS i, ins.t, {{'cost': ins.cost, 'audit': ins.audit}} AS key, ins.lines
+        FROM (SELECT DISTINCT c FROM given) g, ins WHERE ins.s = 0
+        UNION ALL
+        SELECT c, i, t, min(key), arg_min(lines, key) FROM (
+            SELECT dp.c, r.i, ins.t,
+                   {{'cost': dp.key.cost + ins.cost + CASE m.e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+                        + CASE WHEN m.e <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+                     'audit': dp.key.audit || m.e || ins.audit}} AS key,
+                   list_concat(list_concat(dp.lines, CASE m.e WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [r.role || ':' || r.text]
+                       ELSE [CASE m.t WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || r.text] END), ins.lines) AS lines
+            FROM dp JOIN told r ON r.c = dp.c AND r.i = dp.i + 1 JOIN moves m ON m.s = dp.t JOIN ins ON ins.s = m.t
+            WHERE m.e = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (m.e = 'R' OR m.l = r.l))
+        ) GROUP BY c, i, t
+    ), best AS (
+        SELECT dp.c, min(key) AS key, arg_min(lines, key) AS lines
+        FROM dp LEFT JOIN counts USING (c) WHERE dp.i = coalesce(counts.n, 0) AND dp.t IN (0, 3) GROUP BY dp.c
+    )
+    SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, best.key.cost::BIGINT AS cost, best.key.audit AS audit,
+           sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+    FROM (SELECT DISTINCT c, conv_id FROM given) g JOIN best USING (c) LEFT JOIN counts USING (c)
+    """
+
+
 ORACLES = {
     "op1_quality_rules": _quality(),
     "op6_decontaminate": _decontaminate(),
     "op7_suffix_dedup": _SUBSTRINGS,
     "op9_near_duplicates": _NEAR,
     "op10_url_templates": _urls(),
+    "op13_conversation_repair": _repair(),
 }

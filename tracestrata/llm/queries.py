@@ -74,18 +74,23 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
-    return found.select(
+def _item_columns() -> list:
+    return [
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
-    )
+    ]
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(*_item_columns())
 
 
 def op6_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same columns, and what is within some words of a passage."""
     documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     found = decontaminate.decontaminate(documents, benchmark, slack=decontaminate.SLACK)
-    return found.select("doc_id", "n_words", "n_hit", "contaminated", "n_near", F.array_join("near_items", ",").alias("near_items"))
+    return found.select(*_item_columns(), "n_near", F.array_join("near_items", ",").alias("near_items"))
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
