@@ -150,7 +150,8 @@ def write_hours(
 
 def record_defects(spark: SparkSession, store: Store, paths: Sequence[str], hours: Sequence[str]) -> None:
     """Replace what is known to be wrong with the files of `hours` by what is wrong with `paths` of them."""
-    files.remove(spark, (f"{store.defects}/hour={hour}" for hour in hours))
+    known = {folder.removeprefix("hour=") for folder in files.matching(spark, store.defects, "hour=*")}
+    files.remove(spark, (f"{store.defects}/hour={hour}" for hour in known & set(hours)))
     if paths:
         found = archive.defects(spark, paths)
         (
