@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracestrata import materialize
 from tracestrata.llm.components import components
@@ -188,17 +187,18 @@ def _links(left: list, right: list, percent: int, step: int = 128):
 def crowded_links(docs: DataFrame, members: DataFrame, shingle: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between components within the buckets of `members` (bucket, leader, size, component).
 
-    Documents whose buckets hang together are numbered and cut into blocks; a
-    block pair that shares a bucket is one task's work, of a bounded size.
+    Documents whose buckets hang together are dealt into blocks of about `block`
+    shingles; a block pair that shares a bucket is one task's work, of a bounded size.
     """
     tops = members.groupBy("bucket").agg(F.min("leader").alias("b"))
     ties = members.join(tops, "bucket").select(F.col("leader").alias("a"), "b").distinct()
     cluster = components(ties).toDF("leader", "cluster")
-    order = Window.partitionBy("cluster").orderBy("leader").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum("size").over(order) - F.col("size")
+    # Dealt by hash into as many blocks as a cluster's size is worth; sizes are summed where the rows are.
+    rows = members.select("leader", "size", "component").distinct().join(cluster, "leader")
+    totals = sized(materialize(rows.groupBy("cluster").agg(F.sum("size").alias("total"))))
+    part = F.pmod(F.xxhash64("leader"), F.ceil(F.col("total") / block))
     placed = materialize(
-        members.select("leader", "size", "component").distinct().join(cluster, "leader")
-        .select("leader", "component", F.xxhash64("cluster", F.floor(before / block)).alias("block"))
+        rows.join(totals, "cluster").select("leader", "component", F.xxhash64("cluster", part).alias("block"))
     )
     blocks = members.join(placed.select("leader", "block"), "leader").select("bucket", "block").distinct()
     pairs = (
