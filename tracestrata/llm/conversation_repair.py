@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tracestrata import materialize
+from tracestrata.llm.joins import stored
 
 # Costs of the edits, blanks, and what may end a text.
 DELETE, INSERT, REROLE, TRUNCATED = 3, 2, 2, 1
@@ -90,7 +91,7 @@ def faults(rows: DataFrame) -> DataFrame:
         "conv_id", F.lit(None).cast(rows.schema["turn"].dataType).alias("turn"), F.lit("").alias("role"),
         F.lit("").alias("text"), F.lit(0).cast("long").alias("copies"),
     )
-    kept = materialize(kept)
+    kept = stored(kept)
     seen = kept.groupBy("conv_id", "role", "text").agg(
         F.max(F.col("turn").isNull()).alias("unnumbered"), F.min("turn").alias("low"), F.count("*").alias("turns")
     ).where("turns > 1").select(
@@ -110,7 +111,7 @@ def faults(rows: DataFrame) -> DataFrame:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Rows in order over range partitions of bounded size, with the number of their partition as `part`."""
-    rows = materialize(rows)
+    rows = stored(rows)
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     parts = max(1, -(-size["n"] // PART_ROWS), -(-(size["bytes"] or 0) // PART_BYTES))
     keys = [F.asc_nulls_first("conv_id"), F.desc("mark"), F.asc_nulls_first("turn"), "role", "text"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from tracestrata import scratch_dir
+
 # A table of at most this many rows, which together take at most this much, is broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -33,6 +35,13 @@ def sized(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return F.broadcast(table) if counted["n"] <= rows and (counted["size"] or 0) <= size else table
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """`table` as a written table in the shared folder: like a checkpoint, but compressed, in columns."""
+    where = scratch_dir(table.sparkSession, "table")
+    table.write.option("compression", "zstd").parquet(where)
+    return table.sparkSession.read.schema(table.schema).parquet(where)
+
+
 # A counted table goes on in partitions of about so many narrow rows, in FEWEST of them at least.
 TASK_ROWS = 50_000
 FEWEST = 4
