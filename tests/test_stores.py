@@ -154,6 +154,23 @@ def test_defects_have_their_places(spark, place):
     assert "10" not in {r["hour"][11:] for r in ingest.read_defects(spark, store).collect()}
 
 
+def test_hours_are_parsed_once_for_each_file(spark, tmp_path):
+    """No row of a file parses its path, whatever characters are in it."""
+    home = str(tmp_path / "a b%20c+d")
+    land(home, H, [raw(1), "broken"])
+    land(f"{home}/2024-01-02-3", "part", [raw(2, "2024-01-02-3")])
+    land(home, "2024-02-30-1", [raw(3)])
+    land(home, "notes", [raw(4)])
+    land(home, "2024-01-01-11", [])
+    for given in (home, [f"{home}/{H}.json.gz"]):
+        found = archive.flag_and_flatten(archive.scan_archive(spark, given))
+        scanned = plan_of(found).split("BroadcastExchange")[0]
+        assert "FileScan json" in scanned and "regexp" not in scanned and "gettimestamp" not in scanned
+    found = archive.flag_and_flatten(archive.scan_archive(spark, home))
+    got = sorted((r["hour"], r["anno"], r["mese"], r["giorno"], r["malformed"], r["event_seq"] if r["valid"] else None) for r in found.collect())
+    assert got == [(H, 2024, 1, 1, False, 1), (H, 2024, 1, 1, True, None), ("2024-01-02-3", 2024, 1, 2, False, 2)]
+
+
 def test_errors_while_writing_are_raised(spark, place, monkeypatch):
     from pyspark.errors import AnalysisException
 

@@ -59,25 +59,35 @@ def checksums(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def scan_archive(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw events with the hour and path of their file; `_corrupt` holds a malformed line.
+    """Raw events with the hour, day and path of their file; `_corrupt` holds a malformed line.
 
-    A gzip file is read by one task, and all that follows is map-only.
+    A gzip file is read by one task, and all that follows is map-only. Rows of files
+    without a valid stamp are left out.
     """
+    paths = paths if isinstance(paths, str) else list(paths)
     raw = (
         spark.read.schema(RAW_ARCHIVE)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", True)
-        .json(paths if isinstance(paths, str) else list(paths))
+        .json(paths)
     )
-    return with_hour(raw)
+    placed = raw.withColumn("path", F.col("_metadata.file_path"))
+    return placed.join(F.broadcast(file_hours(spark, paths)), "path")
 
 
-def with_hour(raw: DataFrame) -> DataFrame:
-    """Adds the hour and path of the file; rows of files without a valid stamp are left out."""
-    stamped = raw.withColumns(
-        {"hour": S.hour_of_path(F.col("_metadata.file_path")), "path": F.col("_metadata.file_path")}
-    )
-    return stamped.where(S.hour_time(F.col("hour")).isNotNull())
+def file_hours(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, hour, anno, mese, giorno) of the files with a valid stamp.
+
+    A stamp is parsed once for each file, since doing so for every event costs several
+    times as much as parsing the event. Contents are not read; the path is written as
+    that of a scanned row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    named = files.select(F.col("_metadata.file_path").alias("path"))
+    # An aggregate: Spark would carry a filter on the path itself over to the scanned rows.
+    stamped = named.groupBy("path").agg(F.max(S.hour_of_path(F.col("path"))).alias("hour"))
+    moment = S.hour_time(F.col("hour"))
+    return stamped.where(moment.isNotNull()).withColumns(S.day_columns(moment))
 
 
 def flag_and_flatten(raw: DataFrame) -> DataFrame:
@@ -93,7 +103,6 @@ def flag_and_flatten(raw: DataFrame) -> DataFrame:
     file = F.pmod(F.xxhash64("path"), F.lit(1 << (63 - _SEQ_BITS - 1)))
     row = F.monotonically_increasing_id().bitwiseAND((1 << _SEQ_BITS) - 1)
     position = F.shiftleft(file, _SEQ_BITS).bitwiseOR(row)
-    day = S.day_columns(S.hour_time(F.col("hour")))
 
     def only(event: str, value):
         return F.when(kind == event, value)
@@ -113,8 +122,7 @@ def flag_and_flatten(raw: DataFrame) -> DataFrame:
         "review_state": payload["review"]["state"],
         "pr_merged": payload["pull_request"]["merged"].try_cast("boolean"),
         "event_seq": F.coalesce(F.col("id").try_cast("long"), position),
-        "hour": F.col("hour"),
-        **day,
+        **{name: F.col(name) for name in ("hour", "anno", "mese", "giorno")},
     }
     columns = [values[f.name].cast(f.dataType).alias(f.name) for f in EVENT.fields]
     malformed = F.col(CORRUPT).isNotNull()
