@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracestrata.llm import substring_dedup
@@ -81,3 +82,22 @@ def test_nodes_of_a_subtree(seed):
             own = [tuple(words[k][lead[k] - d : lead[k] - d + length]) if lead[k] - windows[k] < d <= lead[k] else None for k in range(80)]
             expected = own[i] is not None and any(own[k] == own[i] and doc[k] < doc[i] for k in range(80))
             assert found[i, d] == expected
+
+
+def test_words_of_a_minimiser_are_sent_as_one(spark):
+    """A window alone takes 13 - 6 + 1 words; what is sent is enough to build it again."""
+    rows = corpus(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where("doc_id is not null")
+    marks = substring_dedup._marks(docs, 13, substring_dedup.LENGTHS, 5)
+    sent = substring_dedup._suffixes(docs.join(marks, "doc_id", "left"), 13, substring_dedup.LENGTHS).collect()
+    texts = {i: substring_dedup.Words(pa.array([text])) for i, text in rows if i is not None}
+    assert any(r["node"] for r in sent) and any(not r["node"] and r["windows"] > 1 for r in sent)
+    for r in sent:
+        got, text = np.frombuffer(r["words"], "<u8"), texts[r["doc_id"]]
+        if r["node"]:
+            assert got.tolist() == [text.grams(13).astype(np.uint64)[r["begin"]]]
+            continue
+        own = text.hash[r["begin"] : r["begin"] + r["windows"] + 12].tolist()
+        at = r["lead"]
+        own[at : at + 6] = [text.grams(6)[r["begin"] + at]]
+        assert got.tolist() == own

@@ -57,7 +57,7 @@ class Windows:
     def __init__(self, column: pa.Array, length: int, lengths: tuple[int, ...]):
         self.words = words = Words(column)
         first = lengths[0]
-        grams = words.grams(first)
+        self.grams = grams = words.grams(first)
         n = max(0, len(words.hash) - length + 1)
         valid = np.flatnonzero(words.whole(length))
         if n:
@@ -124,7 +124,11 @@ _SUFFIX = "prefix long, doc_id long, begin int, lead short, windows short, words
 
 
 def _suffixes(docs: DataFrame, length: int, lengths: tuple[int, ...]) -> DataFrame:
-    """Suffixes of shared prefixes with the words that lead to them; one window a row where the prefix is a node."""
+    """Suffixes of shared prefixes with the words that lead to them; one window a row where the prefix is a node.
+
+    The words of a minimiser are sent as one, its hash: they are the same throughout a group.
+    """
+    spared = lengths[0] - 1
 
     def task(batches):
         for batch in batches:
@@ -148,13 +152,17 @@ def _suffixes(docs: DataFrame, length: int, lengths: tuple[int, ...]) -> DataFra
                 )
                 run = np.flatnonzero(head)
                 count = np.diff(np.append(run, len(at)))
-                # The words of a run: those of its windows together.
-                size = np.where(node[run], 1, count + length - 1)
+                # The words of a run: those of its windows together, those of the minimiser as one.
+                size = np.where(node[run], 1, count + length - 1 - spared)
+                starts = np.cumsum(size) - size
                 source = np.where(node[run], 0, found.at[at][run])
-                place = np.repeat(source - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                lead = np.where(node[run], 0, found.lead[at][run])
+                step = np.arange(size.sum()) - np.repeat(starts, size)
+                behind = step > np.repeat(lead, size)
+                place = np.repeat(source, size) + step + spared * behind
                 content = found.words.hash[place] if len(place) else np.zeros(0, np.uint64)
-                starts = np.cumsum(size) - size
-                content[starts[node[run]]] = found.label[at][run][node[run]].astype(np.uint64)
+                label = found.label[at][run].astype(np.uint64)
+                content[starts + lead] = np.where(node[run], label, found.grams[source + lead])
                 ends = (np.append(starts, size.sum()) * 8).astype(np.int32)
                 words = pa.BinaryArray.from_buffers(
                     pa.binary(), len(run), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(content.astype("<u8").tobytes())]
@@ -190,9 +198,26 @@ def deep_nodes(
 
     The node of `d` words before the minimiser is `length` deep: `d` words back, the rest on.
     """
-    n, most = len(prefix), length - LENGTHS[0]
     size = np.array([len(w) for w in words], np.int64)
-    flat = np.concatenate(words) if n else np.zeros(0, np.uint64)
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    return _deep_nodes(prefix, doc, lead, windows, flat, size, length)
+
+
+def _unfolded(stored: np.ndarray, size: np.ndarray, lead: np.ndarray, spared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their numbers with each minimiser at its full length: its hash, then `spared` times nothing."""
+    step = np.arange(len(stored)) - np.repeat(np.cumsum(size) - size, size)
+    whole = size + spared
+    place = np.repeat(np.cumsum(whole) - whole, size) + step + spared * (step > np.repeat(lead, size))
+    flat = np.zeros(whole.sum(), np.uint64)
+    flat[place] = stored
+    return flat, whole
+
+
+def _deep_nodes(
+    prefix: np.ndarray, doc: np.ndarray, lead: np.ndarray, windows: np.ndarray, flat: np.ndarray, size: np.ndarray, length: int
+) -> np.ndarray:
+    """`deep_nodes` of words that lie one after the other, `size` of each suffix."""
+    n, most = len(prefix), length - LENGTHS[0]
     start = np.cumsum(size) - size + lead
     # The words from the minimiser on, and those before it, the nearest first.
     ahead = np.zeros((n, length), np.uint64)
@@ -222,7 +247,7 @@ def deep_nodes(
     return out
 
 
-def _repeats(suffixes: DataFrame, length: int) -> DataFrame:
+def _repeats(suffixes: DataFrame, length: int, lengths: tuple[int, ...]) -> DataFrame:
     """(doc_id, first window, end of windows) whose passages a smaller document has as well.
 
     A task takes its groups in order and builds the subtrees of all that are
@@ -230,11 +255,13 @@ def _repeats(suffixes: DataFrame, length: int) -> DataFrame:
     """
 
     def subtrees(rows: pa.RecordBatch):
-        words = [np.frombuffer(w, "<u8") for w in rows.column("words").to_pylist()]
+        words = rows.column("words")
+        size = np.asarray(pc.binary_length(words), np.int64) // 8
+        stored = np.frombuffer(b"".join(words.to_pylist()), "<u8")
         prefix, doc, begin, lead, windows = (
             rows.column(c).to_numpy().astype(np.int64) for c in ("prefix", "doc_id", "begin", "lead", "windows")
         )
-        found = deep_nodes(prefix, doc, lead, windows, words, length)
+        found = _deep_nodes(prefix, doc, lead, windows, *_unfolded(stored, size, lead, lengths[0] - 1), length)
         edge = np.zeros((len(doc), found.shape[1] + 2), np.int8)
         edge[:, 1:-1] = found
         step = np.diff(edge, axis=1)
@@ -341,7 +368,7 @@ def remove_repeats(
     # The texts are shuffled once, and cut into suffixes and later into what stays.
     texts = named.repartition("doc_id")
     suffixes = _suffixes(texts.join(marks, "doc_id", "left"), length, lengths)
-    spans = _repeats(suffixes.where("not node"), length)
+    spans = _repeats(suffixes.where("not node"), length, lengths)
     if not marks.where("size(hot) > 0").isEmpty():
         single = suffixes.where("node").select("prefix", "words", "doc_id", "begin")
         owner = single.groupBy("prefix", "words").agg(F.min("doc_id").alias("owner"))
