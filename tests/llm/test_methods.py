@@ -10,6 +10,7 @@ import pytest
 
 from tests_shared import FOLDER, canonical, connect  # noqa: I001
 from tracestrata.llm import html_text, lattice_lm, near_duplicates, packing, queries, secrets, toxicity
+from tracestrata.llm.text import Words
 
 pytestmark = pytest.mark.skipif(FOLDER is None, reason="no test tables")
 
@@ -212,3 +213,12 @@ def test_spans_are_swept_like_pairs(spark):
         if kind == "random" and (a, b) in free and not any(x <= a and b <= y and (x, y) != (a, b) for x, y in free):
             expected.add((row, kind, a, b))
     assert got == expected
+
+
+def test_words_are_cut_out_together():
+    """The distinct words of a block, without a Python object for each."""
+    texts = ["b  a\té a", "", None, "B " + "x" * 300, " ünd "]
+    found = Words(pa.array(texts), lower=True)
+    which = np.array([4, 0, 2, 6, 1, 5])
+    assert lattice_lm._spelt(found, which).to_pylist() == ["b", "b", "é", "ünd", "a", "x" * 300, "\n"]
+    assert lattice_lm._spelt(Words(pa.array([None, " "])), np.zeros(0, np.int64)).to_pylist() == ["\n"]

@@ -30,6 +30,7 @@ import math
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,10 +224,8 @@ def _word_rows(docs: DataFrame, postings: bool) -> DataFrame:
                 new = np.ones(len(order), bool)
                 new[1:] = sorted_hash[1:] != sorted_hash[:-1]
                 edge = np.append(np.flatnonzero(new), len(order))
-                data, n = found.data.tobytes(), part.num_rows
-                first = order[edge[:-1]]
-                word = [data[a:b] for a, b in zip(found.start[first].tolist(), found.stop[first].tolist())]
-                word = pa.array([*word, END.encode()], pa.binary()).cast(pa.string())
+                n = part.num_rows
+                word = _spelt(found, order[edge[:-1]])
                 doc = found.doc[order]
                 if postings:
                     # Places in ascending order of the row, two bytes each where that is enough.
@@ -252,6 +251,17 @@ def _word_rows(docs: DataFrame, postings: bool) -> DataFrame:
     return docs.mapInArrow(task, schema)
 
 
+def _spelt(found: Words, which: np.ndarray) -> pa.Array:
+    """Some of the words, and the end."""
+    # The bytes as a list that holds words and what lies between them in turn.
+    ends = np.stack([found.start, found.stop], axis=1).ravel()
+    bytes_ = pa.py_buffer(found.data.tobytes())
+    ends = np.append(ends, len(found.data)).astype(np.int64)
+    turns = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), bytes_])
+    chosen = turns.take(pa.array(2 * which)).cast(pa.binary())
+    return pa.concat_arrays([chosen, pa.array([END.encode()], pa.binary())]).cast(pa.string())
+
+
 def _ids(doc_id: pa.Array, held: np.ndarray) -> bytes:
     """A block's documents: ids, whether they are null, whether they are held out."""
     ids = doc_id.cast(pa.int64()).fill_null(0)
@@ -327,25 +337,32 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Dat
 
     def summed(batches):
         """A task holds the blocks dealt to it: a few megabytes of places each."""
-        blocks: dict[int, list] = {}
-        ids: dict[int, bytes] = {}
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("block", "value", "count", "places", "ids"))
-            for block, value, count, places, named in zip(*columns):
-                blocks.setdefault(block, []).append((value, count, places))
-                if named is not None:
-                    ids[block] = named
-        for block in sorted(blocks):
-            yield _finished(blocks.pop(block), ids[block])
-
-    def _finished(got, ids):
+        held = [pa.Table.from_batches([batch]) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        got = pa.concat_tables(held)
+        del held
+        block, value, count = (got.column(c).to_numpy() for c in ("block", "value", "count"))
+        places = got.column("places").cast(pa.large_binary()).combine_chunks()
+        named = got.column("ids")
+        ends = np.flatnonzero(np.asarray(named.is_valid()))  # one row of a block has its documents
+        ids = dict(zip(block[ends].tolist(), named.take(pa.array(ends)).to_pylist()))
+        del got, named
+        # One order of summation, whatever order rows arrive in.
+        order = np.lexsort((count, value, block))
+        edge = np.flatnonzero(np.diff(block[order])) + 1
+        for at in np.split(order, edge):
+            own = places.take(pa.array(at))
+            size = np.asarray(pc.binary_length(own), np.int64)
+            start, end = np.frombuffer(own.buffers()[1], np.int64)[own.offset + np.array([0, len(own)])]
+            yield _finished(value[at], count[at], size, own.buffers()[2][start:end], ids[int(block[at[0]])])
+
+    def _finished(value, count, size, places, ids):
         n_docs = len(ids) // 10
         kind = "<u2" if n_docs <= 1 << 16 else "<u4"
-        got = sorted(got)  # one order of summation, whatever order rows arrive in
-        size = np.array([len(p) for _, _, p in got]) // np.dtype(kind).itemsize
-        place = np.frombuffer(b"".join([p for _, _, p in got]), kind)
-        count = np.repeat(np.array([c for _, c, _ in got], np.int64), size)
-        value = np.repeat(np.array([x for x, _, _ in got]), size)
+        size = size // np.dtype(kind).itemsize
+        place = np.frombuffer(places, kind)
+        count, value = np.repeat(count.astype(np.int64), size), np.repeat(value, size)
         base = np.log10((count + 1) / (n + v + 1))
         sums = [np.bincount(place, w, n_docs) for w in (base, value)]
         id_, null, held = (
